@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,20 +70,35 @@ def feature_table(
         F.coalesce(F.sum(F.when(~listed, F.col("n"))), F.lit(0)).alias("n_other"),
         F.collect_list(F.when(listed, F.struct("place", "n", "last"))).alias("cells"),
     )
-    counts = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["place"], c["n"])))
-    since = F.map_from_entries(F.transform("cells", lambda c: F.struct(c["place"], F.lit(as_of_ms).cast("bigint") - c["last"])))
-    places = F.sequence(F.lit(1), F.lit(len(types))) if types else F.array().cast("array<int>")
-    return rows.select(
+    n_types = len(types)
+    laid = rows.withColumn("cells", F.array_sort("cells"))
+    return laid.select(
         F.col("e").alias(entity),
         "n_events",
         "since_ms",
         "n_types",
         "n_other",
-        F.transform(places, lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0))).alias("counts"),
-        F.transform(places, lambda i: F.try_element_at(since, i)).alias("since"),
+        _laid_out(n_types, lambda c: c["n"], 0).alias("counts"),
+        _laid_out(n_types, lambda c: F.lit(as_of_ms).cast("bigint") - c["last"], None).alias("since"),
     )
 
 
+def _laid_out(places: int, value: Callable[[Column], Column], filler: int | None) -> Column:
+    """``cells``, in order of their places, as an array of all places: each cell's value, and filler between.
+
+    Works through the cells that exist and fills the stretches between them at once, instead of asking at each place.
+    """
+
+    def fill(n: Column) -> Column:
+        return F.array_repeat(F.lit(filler).cast("bigint"), n)
+
+    def place_of(i: Column) -> Column:
+        return F.coalesce(F.get("cells", i)["place"], F.lit(0))
+
+    pieces = F.transform("cells", lambda c, i: F.concat(fill(c["place"] - place_of(i - 1) - 1), F.array(value(c))))
+    return F.flatten(F.concat(pieces, F.array(fill(F.lit(places) - place_of(F.size("cells") - 1)))))
+
+
 def widen(features: DataFrame, types: list[str], names: list[str] | None = None) -> DataFrame:
     """The arrays of ``feature_table`` as two columns for each type, ``n_<name>`` and ``since_<name>``.
 
