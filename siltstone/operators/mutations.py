@@ -65,7 +65,7 @@ def _set(column: Column, kind: T.DataType, rest: list[str], value: Column) -> Co
 
 def cutoff(days: int, now: datetime.datetime) -> str:
     """The instant before which rows of a retention of ``days`` expire, as text."""
-    return (now - datetime.timedelta(days=days)).isoformat().replace("+00:00", "Z")
+    return (now - datetime.timedelta(days=days)).isoformat()
 
 
 def retained(frame: Frame, path: str, before: str) -> DataFrame:

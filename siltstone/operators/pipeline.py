@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -143,8 +144,6 @@ def _key_part(f: Field) -> _Key:
 def _literal(v: object) -> Column:
     if v is None or isinstance(v, (str, int, float, bool)):
         return F.lit(v)
-    import json
-
     return F.parse_json(F.lit(json.dumps(v)))
 
 
@@ -215,6 +214,6 @@ def _with_collected(frame: Frame, grouped: DataFrame, keys: list[Column], names:
     different = frame.df.filter(f.present).groupBy(*(keys or [F.lit(0).alias("j")]), identity.alias("v")).agg(F.first(value).alias("x"), F.first(ranked).alias("o"))
     nth = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
     few = different.withColumn("i", nth).filter(F.col("i") <= COLLECT_CAP + 1)
-    lists = few.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(out))
+    lists = few.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x")), lambda a, b: a["i"] - b["i"]), lambda p: p["x"]).alias(out))
     same = [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(names or ["k"], own, strict=True)]
     return grouped.join(lists, same, "left").drop(*own)

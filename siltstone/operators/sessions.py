@@ -38,14 +38,14 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.r_[True, pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)]
 
 
-def _slabs(batches: Iterator[pa.RecordBatch], keep_whole: bool) -> Iterator[pa.Table]:
-    """Tables of about SLAB rows; with ``keep_whole``, no entity (and chunk group) is split between two."""
+def _slabs(batches: Iterator[pa.RecordBatch], size: int, keep_whole: bool) -> Iterator[pa.Table]:
+    """Tables of about ``size`` rows; with ``keep_whole``, no entity (and chunk group) is split between two."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < SLAB:
+        if rows < size:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         if keep_whole:
@@ -75,13 +75,13 @@ def _one(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
-def _grow(floor: int, ceiling: int, ends: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _grow(floor: int, ceiling: int, ends: str, slab: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of a task. ``ends``: which sequences may continue elsewhere: those at the ends of a slab ("slab"), all
     ("all") or none ("none")."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << SLAB_BITS
-        for table in _slabs((b for b in batches if b.num_rows), ends != "slab"):
+        for table in _slabs((b for b in batches if b.num_rows), slab, ends != "slab"):
             entity, begins = _one(table, "entity"), _starts(table)
             get = lambda name: _one(table, name).to_numpy().astype(np.int64)  # noqa: E731, B023
             start = get("start")
@@ -107,7 +107,7 @@ def _grow(floor: int, ceiling: int, ends: str) -> Callable[[Iterator[pa.RecordBa
     return grow
 
 
-def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int = FLOOR_MS, ceiling_ms: int = CEILING_MS) -> DataFrame:
+def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int = FLOOR_MS, ceiling_ms: int = CEILING_MS, slab: int = SLAB) -> DataFrame:
     """The sessions of every entity for all gap settings from ``floor_ms`` to ``ceiling_ms`` at once.
 
     Columns ``entity`` (under its own name), ``gap_ms``, ``parent_gap_ms``, ``start_ms``, ``end_ms``, ``n_events``: the
@@ -134,12 +134,12 @@ def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int =
         .sortWithinPartitions("entity", "start")
         .select("entity", "start")
     )
-    chunks = materialize(events.mapInArrow(_grow(floor_ms, ceiling_ms, "slab"), schema), "session-chunks", partition_by=["kind"])
+    chunks = materialize(events.mapInArrow(_grow(floor_ms, ceiling_ms, "slab", slab), schema), "session-chunks", partition_by=["kind"])
 
     def merged(atoms: DataFrame, keys: list[str], ends: str) -> DataFrame:
         columns = [*keys, "start", "end", "n", F.col("gap").alias("inner")]
         ordered = atoms.repartition(*keys).sortWithinPartitions(*keys, "chunk", "seq").select(*columns)
-        return ordered.mapInArrow(_grow(floor_ms, ceiling_ms, ends), schema)
+        return ordered.mapInArrow(_grow(floor_ms, ceiling_ms, ends, slab), schema)
 
     ends = chunks.filter(F.col("kind") == _ATOM).withColumn("group", F.shiftright("chunk", SLAB_BITS + FAN_BITS))
     middle = materialize(merged(ends, ["entity", "group"], "all"), "session-spines", partition_by=["kind"])
