@@ -18,8 +18,8 @@ GRAM = 5
 MIN_WORDS = 20
 #: Share of repeated runs, in hundredths, from which a document is reported.
 MIN_PERCENT = 30
-#: Documents on which the rules' costs and rejections are estimated. Their order follows from it, never a result.
-SAMPLE_ROWS = 512
+#: First documents of a task on which the rules' costs and rejections are estimated. Their order follows, never a result.
+SAMPLE_ROWS = 128
 #: From so many words on, runs are numbered by sorting instead of being held as tuples.
 MANY_WORDS = 50_000
 #: Fixed value: no character becomes more than 18 by compatibility folding.
@@ -57,10 +57,11 @@ class Document:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(document)`` proves that the document isn't one to report."""
+    """``rejects(document)`` proves that the document isn't one to report; ``needs_words`` if it asks for the words."""
 
     name: str
     rejects: Callable[[Document], bool]
+    needs_words: bool = True
 
 
 def rules(gram: int = GRAM, min_words: int = MIN_WORDS, min_percent: int = MIN_PERCENT) -> list[Rule]:
@@ -75,7 +76,7 @@ def rules(gram: int = GRAM, min_words: int = MIN_WORDS, min_percent: int = MIN_P
         return runs <= 0 or 100 * document.repeated(length, runs) < min_percent * runs
 
     return [
-        Rule("too little text", lambda d: not d.text or len(d.text) * MOST_FOLDED < min_words),
+        Rule("too little text", lambda d: not d.text or len(d.text) * MOST_FOLDED < min_words, needs_words=False),
         Rule("too few words", lambda d: len(d.words) < min_words),
         Rule("too few repeated words", lambda d: too_few(d, 1)),
         Rule("too few repeated pairs", lambda d: too_few(d, 2)),
@@ -83,41 +84,59 @@ def rules(gram: int = GRAM, min_words: int = MIN_WORDS, min_percent: int = MIN_P
     ]
 
 
-def best_order(texts: list[str | None], candidates: list[Rule]) -> list[int]:
-    """The rules' places in the order that rejects most per second on ``texts``.
+def best_order(rejected: np.ndarray, cost: np.ndarray, words_cost: np.ndarray, needs_words: list[bool]) -> list[int]:
+    """The rules in the order that rejects most per second, from what they did on a sample (one row a document).
 
-    Greedy: each next rule is the one with the most rejections per second among the documents that the rules before it
-    let pass, in the state in which those left them. So the cost of what rules share, like finding the words, falls on the
-    first of them only. A rule that rejects none of the rest comes last, cheapest first.
+    Greedy: each next rule is the one with the most rejections per second among the documents that the rules before it let
+    pass. Finding the words is part of the cost of the first rule that needs them. Rules that reject none of the rest come
+    last, cheapest first.
     """
-    rest, order, left = list(range(len(candidates))), [], list(texts)
+    order, rest, alive, known = [], list(range(rejected.shape[1])), np.ones(len(rejected), dtype=bool), False
+
+    def score(i: int) -> tuple[float, float]:
+        seconds = cost[alive, i].sum() + (words_cost[alive].sum() if needs_words[i] and not known else 0) + 1e-9
+        return rejected[alive, i].sum() / seconds, -seconds
+
     while rest:
-        best, best_score, best_kept = None, None, left
-        for i in rest:
-            held = [Document(t) for t in left]
-            for d in held:
-                for j in order:
-                    candidates[j].rejects(d)
-            began = time.perf_counter()
-            verdict = [candidates[i].rejects(d) for d in held]
-            cost = time.perf_counter() - began + 1e-9
-            score = (sum(verdict) / cost, -cost)
-            if best_score is None or score > best_score:
-                best, best_score, best_kept = i, score, [t for t, v in zip(left, verdict, strict=True) if not v]
+        best = max(rest, key=score)
         rest.remove(best)
         order.append(best)
-        left = best_kept
+        known |= needs_words[best]
+        alive &= ~rejected[:, best]
     return order
 
 
-def estimate_order(df: DataFrame, text: str, make: Callable[[], list[Rule]], sample_rows: int = SAMPLE_ROWS) -> list[int]:
-    """``best_order`` on at most ``sample_rows`` documents, worked out by a task: texts don't come to the driver."""
+class Cascade:
+    """Puts documents through the rules.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = [t for b in batches for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(best_order(sample, make()), type=pa.int32())], names=["rule"])
+    The first ``sample_rows`` documents go through all rules, which are timed; from then on each document goes through them
+    in the best order and is done with at the first that rejects it. Every task estimates on its own documents, so nothing
+    is read twice and the order follows the data.
+    """
 
-    return [r["rule"] for r in df.select(F.col(text)).limit(sample_rows).coalesce(1).mapInArrow(run, "rule int").collect()]
+    def __init__(self, made: list[Rule], sample_rows: int = SAMPLE_ROWS):
+        self.rules, self.sample_rows = made, sample_rows
+        self.tests = [r.rejects for r in made]
+        self._seen: list[tuple[list[bool], list[float], float]] = []
+
+    def rejects(self, text: str | None) -> bool:
+        """Whether some rule rejects the document."""
+        document = Document(text)
+        if len(self._seen) >= self.sample_rows:
+            return any(t(document) for t in self.tests)
+        clock = time.perf_counter
+        began = clock()
+        _ = document.words
+        words_cost, verdicts, costs = clock() - began, [], []
+        for r in self.rules:
+            began = clock()
+            verdicts.append(r.rejects(document))
+            costs.append(clock() - began)
+        self._seen.append((verdicts, costs, words_cost))
+        if len(self._seen) == self.sample_rows:
+            rejected, cost, shared = (np.array(x) for x in zip(*self._seen, strict=True))
+            self.tests = [self.rules[i].rejects for i in best_order(rejected, cost, shared, [r.needs_words for r in self.rules])]
+        return any(verdicts)
 
 
 def find_repetitive(
@@ -126,36 +145,26 @@ def find_repetitive(
     """``key`` of each document of at least ``min_words`` words of whose runs of ``gram`` words, counted at every position,
     at least ``min_percent`` hundredths also stand at an earlier position.
 
-    A cascade: each document goes through ``rules`` and is done with at the first that rejects it. Their order is
-    estimated on a bounded sample before; it changes the time, not the result. No shuffle; documents stay where they are
-    read.
+    A ``Cascade`` of ``rules``: their order is estimated on the first documents of each task; it changes the time, not the
+    result. No shuffle; documents stay where they are read, and are read once.
 
     Defined cases: null, empty and blank texts have no words and are never reported; rows with equal keys are reported each;
     a null key is kept; texts of any length are taken whole; an empty input gives no rows; other columns play no part,
     whatever their names.
     """
 
-    def make() -> list[Rule]:
-        return rules(gram, min_words, min_percent)
-
-    order = estimate_order(df, text, make, sample_rows)
     schema = T.StructType([T.StructField(key, df.select(key).schema[0].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = make()
-        tests = [made[i].rejects for i in (order or range(len(made)))]
+        cascade = Cascade(rules(gram, min_words, min_percent), sample_rows)
         for batch in batches:
-            passed = [i for i, t in enumerate(batch.column(1).to_pylist()) if not _rejected(Document(t), tests)]
+            passed = [i for i, t in enumerate(batch.column(1).to_pylist()) if not cascade.rejects(t)]
             if passed:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(passed, type=pa.int64()))], names=[key])
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def _rejected(document: Document, tests: list[Callable[[Document], bool]]) -> bool:
-    return any(t(document) for t in tests)
-
-
 def _repeated_share(parts: list[str]) -> float:
     """Of the characters of the parts, the share in parts that stand earlier too."""
     seen: set[str] = set()

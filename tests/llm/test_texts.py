@@ -216,15 +216,20 @@ def test_any_order_of_rules_gives_the_same():
 
 
 def test_order_prefers_rejections_per_second():
-    def slow(rejects):
-        def rule(d):
-            sum(range(20_000))
-            return rejects(d)
-
-        return rule
-
-    made = [R.Rule("slow", slow(lambda d: True)), R.Rule("fast", lambda d: len(d.text) > 1), R.Rule("idle", lambda d: False)]
-    assert R.best_order(["a", "bb", "cc", "dd"] * 10, made) == [1, 0, 2]
+    # Rules: slow and sure, fast and often, idle; then one that is cheap only once the words are known.
+    rejected = np.array([[1, i % 4 > 0, 0, i % 2 == 0] for i in range(40)], dtype=bool)
+    cost = np.tile([1.0, 0.001, 0.002, 0.0001], (40, 1))
+    assert R.best_order(rejected, cost, np.full(40, 0.5), [False, False, False, True]) == [1, 3, 0, 2]
+    assert R.best_order(rejected, cost, np.full(40, 5.0), [False, False, False, True]) == [1, 0, 2, 3]
+    assert R.best_order(rejected, cost, np.zeros(40), [True] * 4) == [3, 1, 0, 2]
+    assert R.best_order(rejected[:0], cost[:0], np.zeros(0), [True] * 4) == [0, 1, 2, 3]
+
+
+def test_a_cascade_orders_after_its_sample():
+    texts = [t for t in some_texts(random.Random(14)) if t] * 2
+    cascade = R.Cascade(R.rules(), 50)
+    assert [not cascade.rejects(t) for t in texts] == [repetitive(t) for t in texts]
+    assert len(cascade._seen) == 50 and len(cascade.tests) == 5
 
 
 def test_many_words_are_counted_alike(monkeypatch):
