@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.instants import utc_day
+from siltstone.llm.runs import decode_runs, encode_runs
 from siltstone.sources.scratch import materialize
 
 #: Hashes that a slice should hold at most; the slices of a group are united apart from each other.
@@ -22,36 +23,6 @@ RUN_HASHES = 1 << 18
 _RUN_FIELDS = "day date, event_type string, slice int, first bigint, n bigint, run binary"
 
 
-def encode_run(hashes: np.ndarray) -> bytes:
-    """The differences of sorted, different 64-bit hashes, each in groups of seven bits, lowest first.
-
-    The first hash isn't in it; it is kept beside the run.
-    """
-    deltas = np.diff(hashes.view(np.uint64))
-    size = np.ones(len(deltas), dtype=np.int64)
-    for bits in range(7, 64, 7):
-        size += deltas >= np.uint64(1 << bits)
-    begin = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), dtype=np.uint8)
-    for i in range(int(size.max(initial=0))):
-        has = np.flatnonzero(size > i)
-        more = (size[has] > i + 1).astype(np.uint8) << 7
-        out[begin[has] + i] = ((deltas[has] >> np.uint64(7 * i)) & np.uint64(127)).astype(np.uint8) | more
-    return out.tobytes()
-
-
-def decode_run(first: int, run: bytes) -> np.ndarray:
-    """The sorted hashes (as signed 64-bit numbers) of a run."""
-    data = np.frombuffer(run, dtype=np.uint8)
-    if not len(data):
-        return np.array([first], dtype=np.int64)
-    last = np.flatnonzero(data < 128)
-    begin = np.r_[0, last[:-1] + 1]
-    place = np.arange(len(data)) - np.repeat(begin, last + 1 - begin)
-    deltas = np.add.reduceat((data & 127).astype(np.uint64) << (7 * place).astype(np.uint64), begin)
-    return (np.r_[np.uint64(0), np.cumsum(deltas, dtype=np.uint64)] + np.array([first], dtype=np.int64).view(np.uint64)).view(np.int64)
-
-
 def unite(runs: list[np.ndarray]) -> np.ndarray:
     """The k-way union of sorted runs: neighbours are merged two by two until one is left; equal hashes become one."""
     runs = [r for r in runs if len(r)] or [np.empty(0, dtype=np.int64)]
@@ -71,7 +42,7 @@ def slice_bits(rows: int, per_slice: int = SLICE_HASHES) -> int:
     return min(MAX_SLICE_BITS, max(0, math.ceil(math.log2(max(1, rows / per_slice)))))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of rows sorted by ``keys``, and where their groups begin; no group is split between two tables."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -122,9 +93,8 @@ def hash_runs(df: DataFrame, day: Column, event_type: str, identifier: str, *, p
             begin = _begins(pa.Table.from_batches([batch]), keys)
             begin = np.unique(np.r_[begin, np.arange(0, len(h), run_hashes)])
             end = np.r_[begin[1:], len(h)]
-            coded = pa.array([encode_run(h[a:b]) for a, b in zip(begin, end, strict=True)], type=pa.binary())
             own = [batch.column(k).take(pa.array(begin)) for k in keys]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(h[begin]), pa.array(end - begin), coded], names=[*keys, "first", "n", "run"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(h[begin]), pa.array(end - begin), encode_runs(h, begin)], names=[*keys, "first", "n", "run"])
 
     return ordered.mapInArrow(run, _RUN_FIELDS)
 
@@ -140,14 +110,15 @@ def union_counts(runs: DataFrame, keys: list[str]) -> DataFrame:
     schema = ", ".join(f"{k} {kinds[k]}" for k in columns) + ", united bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, begin in _groups(batches, columns):
-            first, coded = table.column("first").to_pylist(), table.column("run").to_pylist()
+        for table, begin in groups(batches, columns):
+            first, n = (table.column(c).to_numpy().astype(np.int64) for c in ("first", "n"))
+            runs_of = np.split(decode_runs(first, n, table.column("run").combine_chunks()), np.cumsum(n)[:-1])
             end = np.r_[begin[1:], table.num_rows]
-            sizes = [len(unite([decode_run(first[i], coded[i]) for i in range(a, b)])) for a, b in zip(begin, end, strict=True)]
+            sizes = [len(unite(runs_of[a:b])) for a, b in zip(begin, end, strict=True)]
             own = [table.column(k).combine_chunks().take(pa.array(begin)) for k in columns]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, type=pa.int64())], names=[*columns, "united"])
 
-    united = runs.select(*columns, "first", "run").repartition(*columns).sortWithinPartitions(*columns, "first").mapInArrow(run, schema)
+    united = runs.select(*columns, "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "first").mapInArrow(run, schema)
     return united.groupBy(*keys).agg(F.sum("united").alias("n_distinct"))
 
 
@@ -185,6 +156,6 @@ def distinct_counts(df: DataFrame, instant: Column, event_type: str, identifier:
         ),
         lambda x: x.isNotNull(),
     )
-    spread = runs.select(F.inline(levels), "slice", "first", "run")
+    spread = runs.select(F.inline(levels), "slice", "first", "n", "run")
     counts = union_counts(spread, ["level", "day", "event_type"])
     return counts.withColumn("collision_bound", collision_bound(F.col("n_distinct")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.instants import instant_ms
 from siltstone.llm import hash_runs as H
 from siltstone.llm import heavy_hitters as K
+from siltstone.llm.runs import decode_runs, encode_runs
 
 
 def test_most_frequent_ties_nulls_and_order(spark):
@@ -30,12 +31,18 @@ def test_share_is_of_non_null_rows_and_inclusive(spark):
 
 def test_runs_round_trip():
     rng = np.random.default_rng(5)
-    for n in (1, 2, 3, 1000):
-        h = np.unique(rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64))
-        h = np.concatenate([h, h[-1:] + 1]) if h[-1] < 2**62 else h
-        assert (H.decode_run(int(h[0]), H.encode_run(h)) == h).all()
     ends = np.array([-(2**63), -(2**63) + 1, 0, 127, 128, 2**63 - 1], dtype=np.int64)
-    assert (H.decode_run(int(ends[0]), H.encode_run(ends)) == ends).all()
+    for k in (1, 2, 7):
+        runs = [np.unique(rng.integers(-(2**63), 2**63 - 1, rng.integers(1, 1000), dtype=np.int64)) for _ in range(k)]
+        runs = [np.array([5]), *runs, ends, np.arange(-3, 400)]
+        n = np.array([len(r) for r in runs])
+        begin = np.cumsum(n) - n
+        values = np.concatenate(runs)
+        coded = encode_runs(values, begin)
+        assert len(coded[0].as_py()) == 0 and len(coded[len(runs) - 1].as_py()) == 402
+        assert (decode_runs(values[begin], n, coded) == values).all()
+        assert (decode_runs(values[begin][2:], n[2:], coded.slice(2)) == values[begin[2] :]).all()
+    assert len(decode_runs(ends[:0], ends[:0], encode_runs(ends[:0], ends[:0]))) == 0
 
 
 def test_unite_is_a_set_union():
