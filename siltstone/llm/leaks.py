@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from siltstone.llm.hash_runs import groups
+from siltstone.llm.runs import decode_runs, encode_runs
 from siltstone.llm.words import words
 
 #: Consecutive words that make a leak; an item of fewer, but at least SHORTEST, must stand whole.
@@ -72,19 +75,32 @@ class Shard:
     ``at`` is the way back from a place to its term: whether a place is in a term's list is one look.
     """
 
-    def __init__(self, texts: list[str | None], terms: dict[str, int], shortest: int):
+    def __init__(self, begins: np.ndarray, at: np.ndarray, places: np.ndarray, counts: np.ndarray):
+        self.begins, self.at, self.places, self.counts = begins, at, places, counts
+        self.first = np.r_[0, np.cumsum(counts)]
+
+    @classmethod
+    def of_texts(cls, texts: list[str | None], terms: dict[str, int], shortest: int) -> Shard:
+        """From the documents themselves. Places that no phrase of ``shortest`` words can reach aren't kept."""
         get, at, begins = terms.get, [], []
         for text in texts:
             begins.append(len(at))
             at.extend(get(w, -1) for w in words(text))
             at.append(-1)
-        self.begins = np.array(begins, dtype=np.int64)
-        self.at = np.array(at, dtype=np.int32)
-        known = np.flatnonzero(self._in_runs(self.at >= 0, shortest))
-        order = np.argsort(self.at[known], kind="stable")
-        self.places = known[order]
-        self.counts = np.bincount(self.at[known], minlength=len(terms)).astype(np.int64)
-        self.first = np.r_[0, np.cumsum(self.counts)]
+        whole = np.array(at, dtype=np.int32)
+        known = np.flatnonzero(cls._in_runs(whole >= 0, shortest))
+        own = whole[known]
+        return cls(np.array(begins, dtype=np.int64), whole, known[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(terms)).astype(np.int64))
+
+    @classmethod
+    def of_postings(cls, bounds: np.ndarray, ids: np.ndarray, first: np.ndarray, n: np.ndarray, runs: pa.BinaryArray, n_terms: int) -> Shard:
+        """From stored postings of some terms; ``bounds`` are the documents' first places and the end of the last."""
+        order = np.argsort(ids, kind="stable")
+        ids, n = ids[order], n[order]
+        places, counts, at = decode_runs(first[order], n, runs.take(pa.array(order))), np.zeros(n_terms, dtype=np.int64), np.full(int(bounds[-1]), -1, dtype=np.int32)
+        counts[ids] = n
+        at[places] = np.repeat(ids, n)
+        return cls(bounds[:-1], at, places, counts)
 
     @staticmethod
     def _in_runs(known: np.ndarray, shortest: int) -> np.ndarray:
@@ -142,6 +158,101 @@ class Shard:
         return document, windows[row]
 
 
+def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The positional inverted index of all words of all documents, to be stored and searched any number of times.
+
+    One row for each shard and term: ``n`` places, the ``first`` and the delta-coded ``run`` of the others. The row of a
+    shard without term has the ``keys`` of its documents, and as places where each begins and where the last ends. A shard
+    is a batch of documents; nothing is shuffled.
+    """
+    kind = docs.select(key).schema[0].dataType
+    plain = [T.StructField(f, k) for f, k in (("shard", T.StringType()), ("term", T.StringType()), ("n", T.LongType()), ("first", T.LongType()), ("run", T.BinaryType()))]
+    schema = T.StructType([*plain, T.StructField("keys", T.ArrayType(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            flat, bounds = [], [0]
+            for value in batch.column(1).to_pylist():
+                flat.extend(words(value))
+                flat.append(None)
+                bounds.append(len(flat))
+            coded = pa.array(flat, type=pa.string()).dictionary_encode()
+            of = coded.indices.fill_null(-1).to_numpy()
+            places = np.argsort(of, kind="stable")[batch.num_rows :]
+            begin = np.flatnonzero(np.diff(of[places], prepend=-1))
+            n = np.diff(np.r_[begin, len(places)])
+            own, ends = np.array(bounds, dtype=np.int64), pa.array([None], type=pa.string())
+            terms = pa.concat_arrays([ends, coded.dictionary.take(pa.array(of[places][begin]))])
+            runs = pa.concat_arrays([encode_runs(own, np.array([0])), encode_runs(places.astype(np.int64), begin)])
+            keys = pa.ListArray.from_arrays(pa.array([0] + [batch.num_rows] * len(terms), type=pa.int32()), batch.column(0))
+            keys = pa.concat_arrays([keys.slice(0, 1), pa.nulls(len(terms) - 1, keys.type)])
+            shard = pa.array([f"{TaskContext.get().partitionId()}:{number}"] * len(terms))
+            columns = [shard, terms, pa.array(np.r_[len(own), n]), pa.array(np.r_[0, places[begin]].astype(np.int64)), runs, keys]
+            whole = pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield from (whole.slice(lo, 20_000) for lo in range(0, len(terms), 20_000))
+
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+
+
+def _pairs(shard: Shard, phrases: Phrases, missing: int) -> np.ndarray:
+    """The different pairs of a document's place in the shard and an item's number."""
+    found = [np.empty((0, 2), dtype=np.int64)]
+    for document, row in shard.find(phrases, missing):
+        size = phrases.owner_ends[row + 1] - phrases.owner_ends[row]
+        own = np.repeat(phrases.owner_ends[row] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        found.append(np.unique(np.c_[np.repeat(document, size), phrases.owners[own]], axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _in_blocks(items: DataFrame, key: str, text: str, window: int, shortest: int, block_words: int, search: Callable[[Broadcast, DataFrame], DataFrame]) -> DataFrame:
+    """``search`` with each block of items: the phrases and keys sent to the workers, and the block's pieces."""
+    pieces = item_pieces(items, key, text, window, shortest)
+    blocks = max(1, math.ceil((pieces.agg(F.sum(F.size("words"))).first()[0] or 0) / block_words))
+    kind, found = to_arrow_type(items.select(key).schema[0].dataType), None
+    for block in range(blocks):
+        mine = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block) if blocks > 1 else pieces
+        rows = mine.collect()
+        number = {k: i for i, k in enumerate(dict.fromkeys(r["item"] for r in rows))}
+        phrases = Phrases([(number[r["item"]], r["words"]) for r in rows], window)
+        part = search(items.sparkSession.sparkContext.broadcast((phrases, pa.array(list(number), type=kind))), mine)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct() if blocks > 1 else found
+
+
+def search_index(
+    index: DataFrame, items: DataFrame, *, doc_key: str, item_key: str, item_text: str, window: int = WINDOW, shortest: int = SHORTEST, missing: int = 0, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The same pairs as ``leaks``, from a stored index instead of the texts.
+
+    Only the postings of terms of the test items are read on, by a join with the block's terms, whose number is bounded by
+    ``block_words``; a shard's postings meet in one task and are intersected there.
+    """
+    schema = T.StructType([T.StructField(doc_key, index.schema["keys"].dataType.elementType), T.StructField(item_key, items.select(item_key).schema[0].dataType)])
+
+    def search(shared: Broadcast, pieces: DataFrame) -> DataFrame:
+        terms = F.broadcast(pieces.select(F.explode("words").alias("term")).distinct())
+        needed = index.filter(F.col("term").isNotNull()).join(terms, "term", "left_semi").unionByName(index.filter(F.col("term").isNull()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases, names = shared.value
+            for table, begin in groups(batches, ["shard"]):
+                for lo, hi in zip(begin, np.r_[begin[1:], table.num_rows], strict=True):
+                    own = table.slice(lo, hi - lo).combine_chunks()
+                    n, first = (own.column(c).to_numpy().astype(np.int64) for c in ("n", "first"))
+                    runs, keys = (own.column(c).combine_chunks() for c in ("run", "keys"))
+                    ids = np.array([phrases.terms[t] for t in own.column("term").to_pylist()[1:]], dtype=np.int64)
+                    bounds = decode_runs(first[:1], n[:1], runs.slice(0, 1))
+                    shard = Shard.of_postings(bounds, ids, first[1:], n[1:], runs.slice(1), len(phrases.terms))
+                    if len(pairs := _pairs(shard, phrases, missing)):
+                        yield pa.RecordBatch.from_arrays([keys.slice(0, 1).flatten().take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
+
+        return needed.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first()).mapInArrow(run, schema)
+
+    return _in_blocks(items, item_key, item_text, window, shortest, block_words, search)
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -170,35 +281,16 @@ def leaks(
     """
     if not 0 <= missing < shortest <= window or doc_key == item_key:
         raise ValueError("missing < shortest <= window and different key names are required")
-    spark = docs.sparkSession
-    pieces = item_pieces(items, item_key, item_text, window, shortest)
-    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
     schema = T.StructType([T.StructField(doc_key, docs.select(doc_key).schema[0].dataType), T.StructField(item_key, items.select(item_key).schema[0].dataType)])
 
-    def search(block: int) -> DataFrame:
-        mine = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block) if blocks > 1 else pieces
-        rows = mine.collect()
-        keys = list(dict.fromkeys(r["item"] for r in rows))
-        number = {k: i for i, k in enumerate(keys)}
-        shared = spark.sparkContext.broadcast((Phrases([(number[r["item"]], r["words"]) for r in rows], window), pa.array(keys, type=to_arrow_type(schema[item_key].dataType))))
-
+    def search(shared: Broadcast, _: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases, names = shared.value
             for batch in batches:
-                shard = Shard(batch.column(1).to_pylist(), phrases.terms, 1 if missing else shortest)
-                found = [np.empty((0, 2), dtype=np.int64)]
-                for document, row in shard.find(phrases, missing):
-                    size = phrases.owner_ends[row + 1] - phrases.owner_ends[row]
-                    own = np.repeat(phrases.owner_ends[row] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                    found.append(np.unique(np.c_[np.repeat(document, size), phrases.owners[own]], axis=0))
-                pairs = np.unique(np.concatenate(found), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=[doc_key, item_key])
+                shard = Shard.of_texts(batch.column(1).to_pylist(), phrases.terms, 1 if missing else shortest)
+                if len(pairs := _pairs(shard, phrases, missing)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
         return docs.select(F.col(doc_key), F.col(doc_text)).mapInArrow(run, schema)
 
-    found = search(0)
-    for block in range(1, blocks):
-        found = found.unionByName(search(block))
-    return found.distinct() if blocks > 1 else found
+    return _in_blocks(items, item_key, item_text, window, shortest, block_words, search)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.instants import duck_instant_ms, instant_ms
 from siltstone.llm import hash_runs, heavy_hitters, leaks, repetition, tokens
+from siltstone.sources.scratch import materialize
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +53,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """The test items that leaked and the documents that hold each."""
-    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    """The test items that leaked and the documents that hold each, from a stored index of the whole corpus."""
+    index = materialize(leaks.build_index(table(spark, d, "documents"), "doc_id", "text"), "postings")
+    found = leaks.search_index(index, table(spark, d, "eval_items"), doc_key="doc_id", item_key="item_id", item_text="text")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:

@@ -160,6 +160,11 @@ def test_leaks_against_brute_force(spark, missing, how):
     got = [(r["doc_id"], r["item_id"]) for r in L.leaks(left, right, **keys, missing=missing, **how).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_leaks(docs, items, missing)
+    index = L.build_index(left, "doc_id", "text").cache()
+    names = {"doc_key": "doc_id", "item_key": "item_id", "item_text": "text"}
+    assert sorted(tuple(r) for r in L.search_index(index, right, **names, missing=missing, **how).collect()) == sorted(got)
+    assert L.search_index(L.build_index(left.limit(0), "doc_id", "text"), right, **names).count() == 0
+    assert L.search_index(index, right.limit(0), **names).count() == 0
     assert L.leaks(left.limit(0), right, **keys).count() == 0
     assert L.leaks(left, right.limit(0), **keys).count() == 0
 
@@ -175,7 +180,7 @@ def test_long_items_are_cut_with_overlap(spark, monkeypatch):
 def test_small_steps_find_the_same(monkeypatch):
     docs, items = corpus(random.Random(5))
     phrases = L.Phrases([(i, words(t)) for i, t in items if len(words(t)) >= 8], 12)
-    shard = L.Shard([t for _, t in docs], phrases.terms, 8)
+    shard = L.Shard.of_texts([t for _, t in docs], phrases.terms, 8)
     whole = {x for d, w in shard.find(phrases) for x in zip(d.tolist(), w.tolist(), strict=True)}
     monkeypatch.setattr(L, "STEP", 1)
     assert whole and whole == {x for d, w in shard.find(phrases) for x in zip(d.tolist(), w.tolist(), strict=True)}
