@@ -156,6 +156,9 @@ def test_trees_of_chunks_merge_to_the_tree_of_the_whole():
 @pytest.mark.parametrize(("slab", "fan"), [(500_000, 6), (40, 0)])
 def test_sessions_for_any_setting(spark, monkeypatch, slab, fan):
     monkeypatch.setattr(W, "FAN_BITS", fan)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, slab)
     rng = random.Random(4)
     events = [("hot" if rng.random() < 0.5 else rng.choice([None, "", *map(str, range(40))]), rng.choice([None, *(rng.randint(0, 100_000) for _ in range(9))]), 0) for _ in range(1500)]
     events += [("hot", 77, 0)] * 200
@@ -168,6 +171,7 @@ def test_sessions_for_any_setting(spark, monkeypatch, slab, fan):
     for gap in (10, 11, 300, 4999, 5000):
         got = sorted((r["ip"], r["start_ms"], r["end_ms"], r["n_events"], r["duration_ms"]) for r in W.cut(tree, gap).collect())
         assert got == sorted((ip, s, e, n, e - s) for ip, ms in want.items() for s, e, n in plain_sessions(ms, gap))
+    spark.conf.set(batch, before)
 
 
 def test_sessions_edges(spark):
