@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TYPES = 4096
+#: Types of a block: conditional counts and maxima that a row of partial results has.
+WIDTH = 8
 
 
 def type_list(df: DataFrame, event_type: str, instant: Column, max_types: int = MAX_TYPES) -> tuple[list[str], int | None]:
@@ -32,6 +34,7 @@ def feature_table(
     types: list[str] | None = None,
     as_of_ms: int | None = None,
     max_types: int = MAX_TYPES,
+    width: int = WIDTH,
 ) -> DataFrame:
     """One row per non-null entity.
 
@@ -40,12 +43,14 @@ def feature_table(
     place for each listed type in the list's order: its events (0 if none), and the milliseconds from its last instant to
     ``as_of_ms`` (null if it has none). ``types`` defaults to all types of ``df`` and ``as_of_ms`` to its latest instant.
 
-    The conditional counts and maxima are kept as sparse cells, one per entity and type that occurs: they are combined in
-    each map task before the shuffle, so an entity with a third of all rows sends at most one cell per type from each. The
-    few cells of an entity are then laid out over the fixed list, inside one task without another pass over the events.
+    One pass with conditional counts and maxima, combined in each map task before the shuffle. The list is cut into blocks
+    of ``width`` types and an entity has a row of conditional results only for the blocks that it has events in: most
+    entities have few of several hundred types, and a row over the whole list would be thousands of zeros for each entity
+    in each map task. An entity with a third of all rows still sends at most one row per block from each map task. Its
+    blocks are then laid out over the fixed list in one task.
 
-    Defined cases: rows with a null entity are ignored (also for ``as_of_ms``'s default they count, as rows of the table);
-    an event without instant counts, but has no recency; instants after ``as_of_ms`` give a negative recency; repeated rows
+    Defined cases: rows with a null entity are ignored (for ``as_of_ms``'s default they count, as rows of the table); an
+    event without instant counts, but has no recency; instants after ``as_of_ms`` give a negative recency; repeated rows
     count each time; an empty input gives no rows; other columns play no part, whatever their names.
     """
     if types is None or as_of_ms is None:
@@ -54,49 +59,51 @@ def feature_table(
         as_of_ms = latest if as_of_ms is None else as_of_ms
     if len(types) > max_types or len(set(types)) < len(types):
         raise ValueError(f"types must be at most {max_types} different values")
-    place = F.array_position(F.array(*(F.lit(t) for t in types)) if types else F.array().cast("array<string>"), F.col("t"))
-    cells = (
-        df.select(F.col(entity).alias("e"), F.col(event_type).alias("t"), instant.alias("ms"))
-        .filter(F.col("e").isNotNull())
-        .groupBy("e", "t")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("last"))
+    places = df.sparkSession.createDataFrame(list(enumerate(types)), "place int, t string")
+    events = df.select(F.col(entity).alias("e"), F.col(event_type).alias("t"), instant.alias("ms")).filter(F.col("e").isNotNull())
+    placed = events.join(F.broadcast(places), "t", "left")
+    here = [F.col("place") % width == j for j in range(width)]
+    blocks = placed.groupBy("e", F.floor(F.col("place") / width).cast("int").alias("block")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max("ms").alias("last"),
+        *(F.count_if(h).alias(f"n{j}") for j, h in enumerate(here)),
+        *(F.max(F.when(h, F.col("ms"))).alias(f"last{j}") for j, h in enumerate(here)),
     )
-    placed = cells.select("e", F.coalesce(place, F.lit(0)).cast("int").alias("place"), "n", "last")
-    listed = F.col("place") > 0
-    rows = placed.groupBy("e").agg(
+    end, own = F.lit(as_of_ms).cast("bigint"), range(width)
+    laid = F.struct("block", F.array(*(f"n{j}" for j in own)).alias("n"), F.array(*(end - F.col(f"last{j}") for j in own)).alias("since"))
+    rows = blocks.groupBy("e").agg(
         F.sum("n").alias("n_events"),
-        (F.lit(as_of_ms).cast("bigint") - F.max("last")).alias("since_ms"),
-        F.count_if(listed).alias("n_types"),
-        F.coalesce(F.sum(F.when(~listed, F.col("n"))), F.lit(0)).alias("n_other"),
-        F.collect_list(F.when(listed, F.struct("place", "n", "last"))).alias("cells"),
+        (end - F.max("last")).alias("since_ms"),
+        F.sum(sum((F.when(F.col(f"n{j}") > 0, 1).otherwise(0) for j in own), F.lit(0))).alias("n_types"),
+        F.coalesce(F.sum(F.when(F.col("block").isNull(), F.col("n"))), F.lit(0)).alias("n_other"),
+        F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), laid))).alias("blocks"),
     )
-    n_types = len(types)
-    laid = rows.withColumn("cells", F.array_sort("cells"))
-    return laid.select(
+    return rows.select(
         F.col("e").alias(entity),
         "n_events",
         "since_ms",
         "n_types",
         "n_other",
-        _laid_out(n_types, lambda c: c["n"], 0).alias("counts"),
-        _laid_out(n_types, lambda c: F.lit(as_of_ms).cast("bigint") - c["last"], None).alias("since"),
+        _laid_out(len(types), width, "n", 0).alias("counts"),
+        _laid_out(len(types), width, "since", None).alias("since"),
     )
 
 
-def _laid_out(places: int, value: Callable[[Column], Column], filler: int | None) -> Column:
-    """``cells``, in order of their places, as an array of all places: each cell's value, and filler between.
+def _laid_out(places: int, width: int, member: str, filler: int | None) -> Column:
+    """A member of ``blocks``, in the blocks' order, as an array of all places, with filler for the blocks that lack.
 
-    Works through the cells that exist and fills the stretches between them at once, instead of asking at each place.
+    Works through the blocks that exist and fills the stretches between them at once, instead of asking at each place.
     """
 
     def fill(n: Column) -> Column:
-        return F.array_repeat(F.lit(filler).cast("bigint"), n)
+        return F.array_repeat(F.lit(filler).cast("bigint"), n * width)
 
-    def place_of(i: Column) -> Column:
-        return F.coalesce(F.get("cells", i)["place"], F.lit(0))
+    def block_at(i: Column) -> Column:
+        return F.coalesce(F.get("blocks", i)["block"], F.lit(-1))
 
-    pieces = F.transform("cells", lambda c, i: F.concat(fill(c["place"] - place_of(i - 1) - 1), F.array(value(c))))
-    return F.flatten(F.concat(pieces, F.array(fill(F.lit(places) - place_of(F.size("cells") - 1)))))
+    pieces = F.transform("blocks", lambda b, i: F.concat(fill(b["block"] - block_at(i - 1) - 1), b[member]))
+    rest = fill(F.lit(-(-places // width) - 1) - block_at(F.size("blocks") - 1))
+    return F.slice(F.flatten(F.concat(pieces, F.array(rest))), 1, places)
 
 
 def widen(features: DataFrame, types: list[str], names: list[str] | None = None) -> DataFrame:
