@@ -42,26 +42,26 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-def _leaks(spark: SparkSession, d: str, **how) -> DataFrame:
-    keys = {"doc_key": "doc_id", "doc_text": "text", "item_key": "item_id", "item_text": "text"}
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), **keys, **how)
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    index = materialize(leaks.build_index(table(spark, d, "documents"), "doc_id", "text"), "postings")
+    return leaks.search_index(index, table(spark, d, "eval_items"), doc_key="doc_id", item_key="item_id", item_text="text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with 12 consecutive words of a test item, or all words of one of 8 to 11."""
+    """Documents with 12 consecutive words of a test item, or all words of one of 8 to 11, from a stored index of the
+    whole corpus."""
     return _leaks(spark, d)
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
-    """The test items that leaked and the documents that hold each, from a stored index of the whole corpus."""
-    index = materialize(leaks.build_index(table(spark, d, "documents"), "doc_id", "text"), "postings")
-    found = leaks.search_index(index, table(spark, d, "eval_items"), doc_key="doc_id", item_key="item_id", item_text="text")
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    """The test items that leaked and the documents that hold each."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """As p7_found, but two of the words may be others."""
-    return _leaks(spark, d, missing=2)
+    """As p7_found, but two of the words may be others; in one pass over the texts, without storing an index."""
+    keys = {"doc_key": "doc_id", "doc_text": "text", "item_key": "item_id", "item_text": "text"}
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), **keys, missing=2)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
