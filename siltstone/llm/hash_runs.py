@@ -20,6 +20,8 @@ SLICE_HASHES = 1 << 20
 MAX_SLICE_BITS = 16
 #: Hashes in a stored run; a longer run goes on in the next row.
 RUN_HASHES = 1 << 18
+#: Stands for a missing day, in days since 1970; no date reaches so far back.
+NO_DAY = -(1 << 31)
 _RUN_FIELDS = "day date, event_type string, slice int, first bigint, n bigint, run binary"
 
 
@@ -131,31 +133,60 @@ def collision_bound(n: Column) -> Column:
     return n * (n - 1) / F.lit(2.0**65)
 
 
-def distinct_counts(df: DataFrame, instant: Column, event_type: str, identifier: str, **how) -> DataFrame:
-    """Near-exact numbers of different identifiers for every UTC day, every type, every day and type, and all rows.
+def calendar_counts(runs: DataFrame, keys: list[str], window_days: int) -> DataFrame:
+    """Different hashes of each group of ``keys`` by day, by trailing window of days, and altogether.
 
-    Columns ``level`` ("day", "type", "day_type" or "all"), ``day`` and ``event_type`` (null where the level has none),
-    ``n_distinct`` and ``collision_bound``. Hashes are exact up to collisions, which only lower a count.
+    Columns ``keys``, ``span`` ("day", "window" or "all"), ``day`` (the window's last; null for all) and ``n_distinct``. A
+    window counts for every last day for which one of its days has a run. The runs of a group and slice meet in one task
+    once; days are united there, windows and the whole are unions of the days. Runs without day count for the whole only.
+    """
+    columns = [*keys, "slice"]
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in columns) + ", span string, day date, united bigint"
+
+    def spans(days: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[str, int | None, int]]:
+        by_day = {d: unite([values[i] for i in np.flatnonzero(days == d)]) for d in np.unique(days)}
+        none = by_day.pop(NO_DAY, None)
+        for d, united in by_day.items():
+            yield "day", d, len(united)
+        for last in sorted({d + i for d in by_day for i in range(window_days)}):
+            yield "window", last, len(unite([by_day[d] for d in range(last - window_days + 1, last + 1) if d in by_day]))
+        yield "all", None, len(unite([*by_day.values(), *([] if none is None else [none])]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in groups(batches, columns):
+            first, n = (table.column(c).to_numpy().astype(np.int64) for c in ("first", "n"))
+            values = np.split(decode_runs(first, n, table.column("run").combine_chunks()), np.cumsum(n)[:-1])
+            days = table.column("day").combine_chunks().cast(pa.int32()).fill_null(NO_DAY).to_numpy()
+            ends = [*begin[1:], table.num_rows]
+            out = [(lo, *s) for lo, hi in zip(begin, ends, strict=True) for s in spans(days[lo:hi], values[lo:hi])]
+            of, span, day, size = zip(*out, strict=True)
+            own = [table.column(k).combine_chunks().take(pa.array(of)) for k in columns]
+            kind = pa.array([None if d is None else int(d) for d in day], type=pa.int32()).cast(pa.date32())
+            yield pa.RecordBatch.from_arrays([*own, pa.array(span), kind, pa.array(size, type=pa.int64())], names=[*columns, "span", "day", "united"])
+
+    read = runs.select(*columns, "day", "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "day", "first")
+    return read.mapInArrow(run, schema).groupBy(*keys, "span", "day").agg(F.sum("united").alias("n_distinct"))
+
+
+def distinct_counts(df: DataFrame, instant: Column, event_type: str, identifier: str, *, window_days: int = 7, **how) -> DataFrame:
+    """Near-exact numbers of different identifiers for days, types, and combinations of them.
+
+    Columns ``level``, ``day``, ``event_type`` (null where the level has none), ``n_distinct`` and ``collision_bound``. The
+    levels are every UTC day ("day"), every type ("type"), every day and type ("day_type"), every ``window_days`` days that
+    end on a day ("window"), these for every type ("window_type"), and all rows ("all"). Hashes are exact up to collisions,
+    which only lower a count.
 
-    Each level is the union of the stored runs of ``hash_runs``; so is any other combination (``union_counts`` over a
-    filter of them, or over runs of several inputs).
+    Each count is that of a union of the stored runs of ``hash_runs``; so is that of any other combination
+    (``union_counts`` over a filter of them, or over runs of several inputs).
 
     Defined cases: rows with a null identifier are ignored; a row without instant has no day and counts for its type and
     for all; a row with a null type counts for its day and for all; repeated rows count once; an empty input has no rows;
-    other columns play no part, whatever their names.
+    other columns play no part, whatever their names. Days before 1970 are days like others.
     """
     runs = materialize(hash_runs(df, utc_day(instant), event_type, identifier, **how), "hash-runs")
-    has_day, has_type = F.col("day").isNotNull(), F.col("event_type").isNotNull()
-    none = F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("event_type")
-    levels = F.filter(
-        F.array(
-            F.when(has_day & has_type, F.struct(F.lit("day_type").alias("level"), F.col("day"), F.col("event_type"))),
-            F.when(has_day, F.struct(F.lit("day").alias("level"), F.col("day"), none[1])),
-            F.when(has_type, F.struct(F.lit("type").alias("level"), none[0], F.col("event_type"))),
-            F.struct(F.lit("all").alias("level"), *none),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    spread = runs.select(F.inline(levels), "slice", "first", "n", "run")
-    counts = union_counts(spread, ["level", "day", "event_type"])
+    typed = calendar_counts(runs.filter(F.col("event_type").isNotNull()), ["event_type"], window_days)
+    level = F.when(F.col("span") == "all", "type").otherwise(F.concat("span", F.lit("_type")))
+    whole = calendar_counts(runs, [], window_days).select(F.col("span").alias("level"), "day", F.lit(None).cast("string").alias("event_type"), "n_distinct")
+    counts = typed.select(level.alias("level"), "day", "event_type", "n_distinct").unionByName(whole)
     return counts.withColumn("collision_bound", collision_bound(F.col("n_distinct")))

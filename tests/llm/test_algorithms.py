@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 from collections import Counter
 
@@ -56,16 +57,18 @@ def test_distinct_counts_against_sets(spark):
     rng = random.Random(7)
     rows = []
     for _ in range(4000):
-        at = rng.choice(["2026-01-05T23:59:59.999Z", "2026-01-06T00:30:00+01:00", "1767657600000", "2026-01-07 10:00:00", "pending", None, ""])
+        at = rng.choice(["2026-01-05T23:59:59.999Z", "2026-01-06T00:30:00+01:00", "1767657600000", "2026-01-07 10:00:00", "1969-12-31T00:00:00Z", "pending", None, ""])
         rows.append((rng.choice([None, "", *map(str, range(300))]) if rng.random() < 0.7 else "hot", rng.choice(["a", "A", "b ", None]), at, 1))
     df = spark.createDataFrame(rows, "ip string, kind string, at string, n_distinct int")
-    day_of = {"2026-01-05T23:59:59.999Z": "2026-01-05", "2026-01-06T00:30:00+01:00": "2026-01-05", "1767657600000": "2026-01-06", "2026-01-07 10:00:00": "2026-01-07"}
+    day_of = {"2026-01-05T23:59:59.999Z": "2026-01-05", "2026-01-06T00:30:00+01:00": "2026-01-05", "1767657600000": "2026-01-06", "2026-01-07 10:00:00": "2026-01-07", "1969-12-31T00:00:00Z": "1969-12-31"}
     want: dict = {}
     for ip, kind, at, _ in rows:
         if ip is not None:
             d = day_of.get(at)
-            for level, key in (("all", (None, None)), ("type", (None, kind)), ("day", (d, None)), ("day_type", (d, kind))):
-                if not (level in ("type", "day_type") and kind is None or level in ("day", "day_type") and d is None):
+            ends = [str(datetime.date.fromisoformat(d) + datetime.timedelta(days=i)) for i in range(7)] if d else []
+            windows = [(level, (e, k)) for e in ends for level, k in (("window", None), ("window_type", kind))]
+            for level, key in [("all", (None, None)), ("type", (None, kind)), ("day", (d, None)), ("day_type", (d, kind)), *windows]:
+                if not (level.endswith("type") and kind is None or level.startswith("day") and d is None):
                     want.setdefault((level, *key), set()).add(ip)
     for how in ({}, {"per_slice": 16, "run_hashes": 8}):
         got = H.distinct_counts(df, instant_ms(F.col("at")), "kind", "ip", **how).collect()
