@@ -35,13 +35,14 @@ def feature_table(
     as_of_ms: int | None = None,
     max_types: int = MAX_TYPES,
     width: int = WIDTH,
+    unseen: int | None = None,
 ) -> DataFrame:
     """One row per non-null entity.
 
     Columns: ``entity`` (under its own name); ``n_events`` and ``since_ms``, totals over all types; ``n_types``, the number
     of listed types seen; ``n_other``, events whose type is null or not listed; ``counts`` and ``since``, arrays with one
     place for each listed type in the list's order: its events (0 if none), and the milliseconds from its last instant to
-    ``as_of_ms`` (null if it has none). ``types`` defaults to all types of ``df`` and ``as_of_ms`` to its latest instant.
+    ``as_of_ms`` (``unseen`` if it has none). ``types`` defaults to all types of ``df`` and ``as_of_ms`` to its latest instant.
 
     One pass with conditional counts and maxima, combined in each map task before the shuffle. The list is cut into blocks
     of ``width`` types and an entity has a row of conditional results only for the blocks that it has events in: most
@@ -69,8 +70,8 @@ def feature_table(
         *(F.count_if(h).alias(f"n{j}") for j, h in enumerate(here)),
         *(F.max(F.when(h, F.col("ms"))).alias(f"last{j}") for j, h in enumerate(here)),
     )
-    end, own = F.lit(as_of_ms).cast("bigint"), range(width)
-    laid = F.struct("block", F.array(*(f"n{j}" for j in own)).alias("n"), F.array(*(end - F.col(f"last{j}") for j in own)).alias("since"))
+    end, never, own = F.lit(as_of_ms).cast("bigint"), F.lit(unseen).cast("bigint"), range(width)
+    laid = F.struct("block", F.array(*(f"n{j}" for j in own)).alias("n"), F.array(*(F.coalesce(end - F.col(f"last{j}"), never) for j in own)).alias("since"))
     rows = blocks.groupBy("e").agg(
         F.sum("n").alias("n_events"),
         (end - F.max("last")).alias("since_ms"),
@@ -85,7 +86,7 @@ def feature_table(
         "n_types",
         "n_other",
         _laid_out(len(types), width, "n", 0).alias("counts"),
-        _laid_out(len(types), width, "since", None).alias("since"),
+        _laid_out(len(types), width, "since", unseen).alias("since"),
     )
 
 

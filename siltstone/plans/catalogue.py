@@ -233,8 +233,8 @@ _pipes(
 _pipes(
     "task_revisions",
     "tasks",
-    [{"$group": {"_id": {"p": "priority", "s": "status"}, "n": {"$count": {}}, "last": {"$max": "_rev"}}}, {"$match": {"_id.p": {"$gte": 2}}}],
-    "select struct_pack(p := priority, s := status) as _id, count(*) as n, max(_rev) as last from tasks where priority >= 2 group by priority, status",
+    [{"$match": {"status": {"$exists": True}}}, {"$group": {"_id": {"p": "priority", "s": "status"}, "n": {"$count": {}}, "last": {"$max": "_rev"}}}, {"$match": {"_id.p": {"$gte": 2}}}],
+    "select struct_pack(p := priority, s := status) as _id, count(*) as n, max(_rev) as last from tasks where status is not null and priority >= 2 group by priority, status",
 )
 _pipes(
     "log_levels",

@@ -34,8 +34,8 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_features(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, recency and totals of every src_ip for each event_type."""
-    return features.feature_table(table(spark, d, "siem_events"), "src_ip", "event_type", instant_ms(F.col("_received_at")))
+    """Counts, recency (-1: never) and totals of every src_ip for each event_type."""
+    return features.feature_table(table(spark, d, "siem_events"), "src_ip", "event_type", instant_ms(F.col("_received_at")), unseen=-1)
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ ORACLES: dict[str, str] = {
              cells as (select src_ip, event_type, count(*) as n, max(ms) as last from e where src_ip is not null group by all),
              totals as (select src_ip, cast(sum(n) as bigint) as n_events, max(now_ms) - max(last) as since_ms, count(event_type) as n_types,
                                cast(coalesce(sum(n) filter (event_type is null), 0) as bigint) as n_other from cells, now group by src_ip),
-             grid as (select t.src_ip, y.event_type, coalesce(c.n, 0) as n, now_ms - c.last as since
+             grid as (select t.src_ip, y.event_type, coalesce(c.n, 0) as n, coalesce(now_ms - c.last, -1) as since
                       from totals t cross join types y cross join now left join cells c on c.src_ip = t.src_ip and c.event_type = y.event_type)
         select t.*, g.counts, g.since from totals t join
             (select src_ip, list(n order by event_type) as counts, list(since order by event_type) as since from grid group by src_ip) g using (src_ip)""",
