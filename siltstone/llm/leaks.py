@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,14 @@ def item_pieces(items: DataFrame, key: str, text: str, window: int = WINDOW, sho
     return items.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Phrases:
     """The windows of a block of test items, as numbers of terms: one row a window, padded with -1."""
 
@@ -173,18 +182,17 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
         for number, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
-            flat, bounds = [], [0]
+            numbers, flat, bounds = _Numbers(), array("i"), [0]
             for value in batch.column(1).to_pylist():
-                flat.extend(words(value))
-                flat.append(None)
+                flat.extend(map(numbers.__getitem__, words(value)))
+                flat.append(-1)
                 bounds.append(len(flat))
-            coded = pa.array(flat, type=pa.string()).dictionary_encode()
-            of = coded.indices.fill_null(-1).to_numpy()
+            of = np.frombuffer(flat, dtype=np.int32)
             places = np.argsort(of, kind="stable")[batch.num_rows :]
             begin = np.flatnonzero(np.diff(of[places], prepend=-1))
             n = np.diff(np.r_[begin, len(places)])
             own, ends = np.array(bounds, dtype=np.int64), pa.array([None], type=pa.string())
-            terms = pa.concat_arrays([ends, coded.dictionary.take(pa.array(of[places][begin]))])
+            terms = pa.concat_arrays([ends, pa.array(numbers, type=pa.string())])
             runs = pa.concat_arrays([encode_runs(own, np.array([0])), encode_runs(places.astype(np.int64), begin)])
             keys = pa.ListArray.from_arrays(pa.array([0] + [batch.num_rows] * len(terms), type=pa.int32()), batch.column(0))
             keys = pa.concat_arrays([keys.slice(0, 1), pa.nulls(len(terms) - 1, keys.type)])
