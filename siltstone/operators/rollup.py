@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.paths import Frame, Typed
 from siltstone.limits import PROFILE_ROWS, ROLLUP_CARDINALITY
@@ -18,6 +19,10 @@ from siltstone.operators.pipeline import Accumulator, Stage, group
 from siltstone.operators.query import Query
 
 
+#: Combinations of values that a chosen rollup may have, so that it stays small beside the rows.
+MOST_COMBINATIONS = 100_000
+
+
 @dataclass
 class Rollup:
     """The joint counts ``n_rows`` of ``paths`` in one version of the data."""
@@ -72,6 +77,39 @@ def group_counts(rollup: Rollup, stages: list[Stage]) -> DataFrame:
     return summed.select("_id", *(F.col(f"`{n}`").cast("bigint").alias(n) for n in made))
 
 
+def scalar_paths(frame: Frame, rows: int = PROFILE_ROWS) -> list[str]:
+    """Paths of single values at the top and one level below, without system fields: of the schema's columns, and of the
+    documents that the first ``rows`` rows hold."""
+
+    def members(kind: T.StructType, above: str, levels: int) -> list[str]:
+        found = []
+        for f in kind:
+            if isinstance(f.dataType, T.StructType):
+                found += members(f.dataType, f"{above}{f.name}.", levels - 1) if levels else []
+            elif isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType) and "." not in f.name:
+                found.append(above + f.name)
+        return found
+
+    columns = T.StructType([f for f in frame.df.schema if f.name != frame.root and f.name[:1] not in "_."])
+    found = members(columns, "", 1)
+    if frame.root:
+        said = frame.df.limit(rows).agg(F.schema_of_variant_agg(frame.root)).first()[0]
+        inside = T.DataType.fromDDL(said.replace("OBJECT<", "STRUCT<")) if said.startswith("OBJECT<") else T.StructType()
+        found += [p for p in members(inside, "", 1) if p[:1] != "_"]
+    return found
+
+
+def choose(counts: dict[str, int], most: int = MOST_COMBINATIONS) -> list[str]:
+    """The paths of fewest values whose combinations are at most ``most``."""
+    chosen, product = [], 1
+    for path, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        product *= n + 1
+        if product > most:
+            break
+        chosen.append(path)
+    return chosen
+
+
 def profile(frame: Frame, paths: list[str], rows: int = PROFILE_ROWS, most: int = ROLLUP_CARDINALITY) -> dict[str, int]:
     """Paths with 1 to ``most - 1`` different values among the first ``rows`` rows, and how many: worth a rollup."""
     sample = Frame(frame.df.limit(rows), frame.root, frame.bound)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hmac
 import json
+import logging
 import ssl
+import time
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import unquote, urlsplit
@@ -13,6 +15,8 @@ from siltstone import errors as E
 from siltstone.service.engine import Answer, Engine, error_envelope
 from siltstone.sources.catalog import _IDS
 
+_LOG = logging.getLogger("siltstone.http")
+
 
 def route(engine: Engine, method: str, path: str, body: Callable[[], object]) -> tuple[int, Answer | str]:
     """Status and answer of a request; raises EngineError. ``body`` parses the request's JSON."""
@@ -103,6 +107,7 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8080, keys: list[
         protocol_version = "HTTP/1.1"
 
         def _answer(self) -> None:
+            began = time.monotonic()
             path, engine.lifetime["requests"] = urlsplit(self.path).path, engine.lifetime["requests"] + 1
             data = self.rfile.read(int(self.headers.get("Content-Length") or 0))
 
@@ -128,11 +133,12 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 8080, keys: list[
             self.send_header("X-Request-Id", _IDS.next())
             self.end_headers()
             self.wfile.write(sent)
+            _LOG.info("%s %s %d %.1f ms", self.command, path, status, (time.monotonic() - began) * 1000)
 
         do_GET = do_POST = do_PUT = do_PATCH = do_DELETE = _answer  # noqa: N815
 
         def log_message(self, *_) -> None:
-            """Requests aren't logged here."""
+            """Requests are logged when they are answered."""
 
     server = ThreadingHTTPServer((host, port), Handler)
     if tls:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from siltstone import errors as E
 from siltstone.functions.paths import EPSILON, Frame, Schemaless, is_number
-from siltstone.limits import MAX_BULK_DOCUMENTS, MAX_DOCUMENT_BYTES
+from siltstone.limits import MAX_BULK_DOCUMENTS, MAX_DOCUMENT_BYTES, PROFILE_ROWS
 from siltstone.operators import rollup as R
 from siltstone.operators.filters import All, Test, parse
 from siltstone.operators.mutations import cutoff, hit, parse_set
@@ -456,6 +456,14 @@ class Collection:
         with self._lock:
             self.commit(replace(self.manifest(), rollup=list(paths)))
 
+    def detect_rollup(self, rows: int = PROFILE_ROWS) -> list[str]:
+        """Keeps a rollup of the categorical paths found in the first ``rows`` rows; the paths."""
+        frame = self.frame()
+        paths = R.scalar_paths(frame, rows)
+        chosen = R.choose(R.profile(frame, paths, rows)) if paths else []
+        self.set_rollup(chosen)
+        return chosen
+
     def rollup(self, manifest: Manifest) -> R.Rollup | None:
         """The rollup of a version, stored with it and built when first asked for; None if none is kept, or if it is no
         smaller than a tenth of the rows."""

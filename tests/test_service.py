@@ -135,6 +135,14 @@ def test_accelerators_never_change_answers(engine, events):
     assert answers(engine, events) == before
 
 
+def test_rollup_paths_are_found(engine):
+    fill(engine, "found", [{"kind": "ab"[i % 2], "deep": {"x": i % 3, "y": {"z": 1}}, "list": [1], "id": f"u{i}", "_own": 1, "mixed": [i, "s"][i % 2]} for i in range(1200)])
+    c = engine.catalog.collection("found")
+    assert c.detect_rollup() == ["kind", "deep.x"]
+    assert engine.query("found", {"filter": {"deep.x": 1}, "count_only": True}).meta["scan_strategy"] == "bitmap"
+    assert engine.query("found", {"filter": {"deep.x": 1}, "count_only": True}).data == {"count": 400}
+
+
 def test_layout_conditions_reach_the_scan(engine):
     fill(engine, "laid", [{"t": "abc"[i % 3], "n": i} for i in range(30)])
     engine.create_index("laid", "t", ["t", "n"])
