@@ -100,13 +100,14 @@ def salted_aggregate(
     return final.select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), *(F.col(f"m{i}").alias(o) for i, o in enumerate(measures)))
 
 
-def keys_holding(df: DataFrame, keys: list[str], share: float, **how) -> DataFrame:
-    """The keys without nulls that hold at least ``share`` of all rows of ``df``, with their exact ``n_rows``.
+def keys_holding(df: DataFrame, keys: list[str], one_in: int, **how) -> DataFrame:
+    """The keys without nulls that hold at least one in ``one_in`` of all rows of ``df``, with their exact ``n_rows``.
 
-    Rows with null keys count in the total. No rows for an empty input.
+    Rows with null keys count in the total. No rows for an empty input. Whole numbers are compared, so a key that holds
+    exactly its share is never lost by rounding.
     """
     counts = salted_aggregate(df, keys, {"n_rows": count()}, **how)
     for k in keys:
         counts = counts.filter(F.col(k).isNotNull())
     rows = df.select(F.count(F.lit(1))).scalar()
-    return counts.filter(F.col("n_rows") >= F.lit(share) * rows)
+    return counts.filter(F.col("n_rows") * one_in >= rows)

@@ -12,7 +12,7 @@ from siltstone.operators import features, salted, sessions
 from siltstone.sources.tables import table
 
 SESSION_GAP_MS = 1_800_000
-FOUND_SHARE = 0.04
+FOUND_ONE_IN = 25
 SETTINGS_MS = (60_000, 300_000, 1_800_000, 7_200_000, 43_200_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of event_type and severity, neither null, that hold at least 4 % of all rows."""
-    return salted.keys_holding(table(spark, d, "siem_events"), ["event_type", "severity"], FOUND_SHARE).drop("n_rows")
+    return salted.keys_holding(table(spark, d, "siem_events"), ["event_type", "severity"], FOUND_ONE_IN).drop("n_rows")
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,7 @@ def _sessions_sql(gap_ms: int) -> str:
 
 ORACLES: dict[str, str] = {
     "p1_found": f"""select event_type, severity from siem_events where event_type is not null and severity is not null
-        group by all having count(*) >= {FOUND_SHARE} * (select count(*) from siem_events)""",
+        group by all having count(*) * {FOUND_ONE_IN} >= (select count(*) from siem_events)""",
     "p1_counts": """select event_type, severity, count(*) as n_rows, min(_created_at) as first_created, max(_created_at) as last_created, avg(_rev) as mean_rev
         from siem_events group by event_type, severity""",
     "p2_features": f"""

@@ -88,8 +88,10 @@ def test_heavy_keys_are_found_and_spread(spark, rows):
 
 def test_keys_holding_a_share(spark):
     df = spark.createDataFrame([("a", "x")] * 4 + [("b", "x")] * 3 + [(None, "x")] * 50 + [("c", None)] * 43, "k string, l string")
-    assert [tuple(r) for r in S.keys_holding(df, ["k", "l"], 0.04).collect()] == [("a", "x", 4)]
-    assert S.keys_holding(df.limit(0), ["k"], 0.04).count() == 0
+    assert [tuple(r) for r in S.keys_holding(df, ["k", "l"], 25).collect()] == [("a", "x", 4)]
+    assert S.keys_holding(df.limit(0), ["k"], 25).count() == 0
+    exact = spark.createDataFrame([("a",)] * 7 + [(f"r{i}",) for i in range(168)], "k string")
+    assert [tuple(r) for r in S.keys_holding(exact, ["k"], 25).collect()] == [("a", 7)]
     with pytest.raises(ValueError):
         S.salted_aggregate(df, ["k"], {"k": S.count()})
 
