@@ -9,7 +9,7 @@ import regex
 
 _TAG = re.compile(r"<[^<>]*>")
 _LINK = re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]")
-_REFERENCE = re.compile(r"&(?:(nbsp|amp|quot|lt|gt|ndash|mdash|shy)|#([0-9]{1,9})|#x([0-9A-Fa-f]{1,8}));")
+_REFERENCE = re.compile(r"&(?:(nbsp|amp|quot|lt|gt|ndash|mdash|shy)|#([0-9]{1,4000})|#x([0-9A-Fa-f]{1,4000}));")
 _DROPPED = re.compile("[­​-‍⁠﻿]+")
 _WORD = regex.compile(r"[぀-ヿ㐀-鿿]|[[\p{L}\p{M}\p{N}]--[぀-ヿ㐀-鿿]]+", regex.V1)
 # The named references and what they stand for.

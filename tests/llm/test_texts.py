@@ -24,7 +24,7 @@ TEXTS = [
     " ",
     "\n\n \t",
     "Hello, world! It's 2024.",
-    "'''Bold''' [[a b|c d]] &nbsp;&amp;nbsp; &#65;&#x42;&#99999999; <ref name=x>y</ref> a<b>c",
+    "'''Bold''' [[a b|c d]] &nbsp;&amp;nbsp; &#65;&#x42;&#99999999; &#00000000000065; <ref name=x>y</ref> a<b>c",
     "日本語のテキスト、中文字符。カタカナ・ヒラガナ",
     "Ünïcödé é ﬁn ﷺ İstanbul ΟΔΟΣ",
     "soft­hyphen zero​width",
