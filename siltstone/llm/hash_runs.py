@@ -134,24 +134,27 @@ def collision_bound(n: Column) -> Column:
 
 
 def calendar_counts(runs: DataFrame, keys: list[str], window_days: int) -> DataFrame:
-    """Different hashes of each group of ``keys`` by day, by trailing window of days, and altogether.
+    """Different hashes of each group of ``keys`` by day, by trailing windows of days, and altogether.
 
-    Columns ``keys``, ``span`` ("day", "window" or "all"), ``day`` (the window's last; null for all) and ``n_distinct``. A
-    window counts for every last day for which one of its days has a run. The runs of a group and slice meet in one task
-    once; days are united there, windows and the whole are unions of the days. Runs without day count for the whole only.
+    Columns ``keys``, ``span`` ("day", "window" or "all"), ``day`` (the window's last; null for all), ``n_days`` (1 to
+    ``window_days``; null for all) and ``n_distinct``. A window counts for every last day and length for which one of its
+    days has a run. The runs of a group and slice meet in one task once; days are united there, a window is the union of the
+    next shorter one with one more day, and the whole is that of all days. Runs without day count for the whole only.
     """
     columns = [*keys, "slice"]
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in columns) + ", span string, day date, united bigint"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in columns) + ", span string, day date, n_days int, united bigint"
 
-    def spans(days: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[str, int | None, int]]:
+    def spans(days: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[str, int | None, int | None, int]]:
         by_day = {d: unite([values[i] for i in np.flatnonzero(days == d)]) for d in np.unique(days)}
         none = by_day.pop(NO_DAY, None)
-        for d, united in by_day.items():
-            yield "day", d, len(united)
         for last in sorted({d + i for d in by_day for i in range(window_days)}):
-            yield "window", last, len(unite([by_day[d] for d in range(last - window_days + 1, last + 1) if d in by_day]))
-        yield "all", None, len(unite([*by_day.values(), *([] if none is None else [none])]))
+            united = np.empty(0, dtype=np.int64)
+            for length in range(1, window_days + 1):
+                united = unite([united, by_day.get(last - length + 1, united)])
+                if len(united):
+                    yield "day" if length == 1 else "window", last, length, len(united)
+        yield "all", None, None, len(unite([*by_day.values(), *([] if none is None else [none])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begin in groups(batches, columns):
@@ -160,22 +163,22 @@ def calendar_counts(runs: DataFrame, keys: list[str], window_days: int) -> DataF
             days = table.column("day").combine_chunks().cast(pa.int32()).fill_null(NO_DAY).to_numpy()
             ends = [*begin[1:], table.num_rows]
             out = [(lo, *s) for lo, hi in zip(begin, ends, strict=True) for s in spans(days[lo:hi], values[lo:hi])]
-            of, span, day, size = zip(*out, strict=True)
+            of, span, day, length, size = zip(*out, strict=True)
             own = [table.column(k).combine_chunks().take(pa.array(of)) for k in columns]
             kind = pa.array([None if d is None else int(d) for d in day], type=pa.int32()).cast(pa.date32())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(span), kind, pa.array(size, type=pa.int64())], names=[*columns, "span", "day", "united"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(span), kind, pa.array(length, type=pa.int32()), pa.array(size, type=pa.int64())], names=[*columns, "span", "day", "n_days", "united"])
 
     read = runs.select(*columns, "day", "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "day", "first")
-    return read.mapInArrow(run, schema).groupBy(*keys, "span", "day").agg(F.sum("united").alias("n_distinct"))
+    return read.mapInArrow(run, schema).groupBy(*keys, "span", "day", "n_days").agg(F.sum("united").alias("n_distinct"))
 
 
 def distinct_counts(df: DataFrame, instant: Column, event_type: str, identifier: str, *, window_days: int = 7, **how) -> DataFrame:
     """Near-exact numbers of different identifiers for days, types, and combinations of them.
 
-    Columns ``level``, ``day``, ``event_type`` (null where the level has none), ``n_distinct`` and ``collision_bound``. The
-    levels are every UTC day ("day"), every type ("type"), every day and type ("day_type"), every ``window_days`` days that
-    end on a day ("window"), these for every type ("window_type"), and all rows ("all"). Hashes are exact up to collisions,
-    which only lower a count.
+    Columns ``level``, ``day``, ``n_days``, ``event_type`` (null where the level has none), ``n_distinct`` and
+    ``collision_bound``. The levels are every UTC day ("day"), every type ("type"), every day and type ("day_type"), every 2
+    to ``window_days`` days that end on a day ("window"), these for every type ("window_type"), and all rows ("all"). Hashes
+    are exact up to collisions, which only lower a count.
 
     Each count is that of a union of the stored runs of ``hash_runs``; so is that of any other combination
     (``union_counts`` over a filter of them, or over runs of several inputs).
@@ -187,6 +190,6 @@ def distinct_counts(df: DataFrame, instant: Column, event_type: str, identifier:
     runs = materialize(hash_runs(df, utc_day(instant), event_type, identifier, **how), "hash-runs")
     typed = calendar_counts(runs.filter(F.col("event_type").isNotNull()), ["event_type"], window_days)
     level = F.when(F.col("span") == "all", "type").otherwise(F.concat("span", F.lit("_type")))
-    whole = calendar_counts(runs, [], window_days).select(F.col("span").alias("level"), "day", F.lit(None).cast("string").alias("event_type"), "n_distinct")
-    counts = typed.select(level.alias("level"), "day", "event_type", "n_distinct").unionByName(whole)
+    whole = calendar_counts(runs, [], window_days).select(F.col("span").alias("level"), "day", "n_days", F.lit(None).cast("string").alias("event_type"), "n_distinct")
+    counts = typed.select(level.alias("level"), "day", "n_days", "event_type", "n_distinct").unionByName(whole)
     return counts.withColumn("collision_bound", collision_bound(F.col("n_distinct")))

@@ -33,7 +33,7 @@ def p4_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Different src_ip for every UTC day, seven days, event_type, combinations of these and all, with the bound of the error."""
+    """Different src_ip for every UTC day, two to seven days, event_type, combinations of these and all, and the error."""
     return hash_runs.distinct_counts(table(spark, d, "siem_events"), instant_ms(F.col("_received_at")), "event_type", "src_ip")
 
 
@@ -87,13 +87,14 @@ ORACLES: dict[str, str] = {
     ),
     "p5_distinct": f"""
         with e as (select {_DAY} as day, event_type, src_ip from siem_events where src_ip is not null),
-             w as (select day + cast(i as integer) as day, event_type, src_ip from e, generate_series(0, 6) as g(i) where day is not null),
+             w as (select day + cast(i as integer) as day, cast(k as integer) as n_days, event_type, src_ip
+                   from e, generate_series(0, 6) as g(i), generate_series(2, 7) as h(k) where day is not null and i < k),
              c as (select case grouping(day, event_type) when 0 then 'day_type' when 1 then 'day' when 2 then 'type' else 'all' end as level,
-                          day, event_type, count(distinct src_ip) as n_distinct
+                          day, case when grouping(day) = 0 then 1 end as n_days, event_type, count(distinct src_ip) as n_distinct
                    from e group by grouping sets ((day, event_type), (day), (event_type), ())
                    having (grouping(day) = 1 or day is not null) and (grouping(event_type) = 1 or event_type is not null)
                    union all
-                   select case when grouping(event_type) = 0 then 'window_type' else 'window' end, day, event_type, count(distinct src_ip)
-                   from w group by grouping sets ((day, event_type), (day)) having grouping(event_type) = 1 or event_type is not null)
+                   select case when grouping(event_type) = 0 then 'window_type' else 'window' end, day, n_days, event_type, count(distinct src_ip)
+                   from w group by grouping sets ((day, n_days, event_type), (day, n_days)) having grouping(event_type) = 1 or event_type is not null)
         select *, cast(n_distinct as double) * (cast(n_distinct as double) - 1) / pow(2, 65) as collision_bound from c where n_distinct > 0""",
 }

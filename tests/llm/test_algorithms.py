@@ -65,14 +65,14 @@ def test_distinct_counts_against_sets(spark):
     for ip, kind, at, _ in rows:
         if ip is not None:
             d = day_of.get(at)
-            ends = [str(datetime.date.fromisoformat(d) + datetime.timedelta(days=i)) for i in range(7)] if d else []
-            windows = [(level, (e, k)) for e in ends for level, k in (("window", None), ("window_type", kind))]
-            for level, key in [("all", (None, None)), ("type", (None, kind)), ("day", (d, None)), ("day_type", (d, kind)), *windows]:
+            ends = [(str(datetime.date.fromisoformat(d) + datetime.timedelta(days=i)), n) for i in range(7) for n in range(max(2, i + 1), 8)] if d else []
+            windows = [(level, (e, n, k)) for e, n in ends for level, k in (("window", None), ("window_type", kind))]
+            for level, key in [("all", (None, None, None)), ("type", (None, None, kind)), ("day", (d, 1, None)), ("day_type", (d, 1, kind)), *windows]:
                 if not (level.endswith("type") and kind is None or level.startswith("day") and d is None):
                     want.setdefault((level, *key), set()).add(ip)
     for how in ({}, {"per_slice": 16, "run_hashes": 8}):
         got = H.distinct_counts(df, instant_ms(F.col("at")), "kind", "ip", **how).collect()
-        assert {(r["level"], r["day"] and r["day"].isoformat(), r["event_type"]): r["n_distinct"] for r in got} == {k: len(v) for k, v in want.items()}
+        assert {(r["level"], r["day"] and r["day"].isoformat(), r["n_days"], r["event_type"]): r["n_distinct"] for r in got} == {k: len(v) for k, v in want.items()}
         assert all(r["collision_bound"] == r["n_distinct"] * (r["n_distinct"] - 1) / 2**65 for r in got)
     assert H.distinct_counts(df.limit(0), instant_ms(F.col("at")), "kind", "ip").count() == 0
 
