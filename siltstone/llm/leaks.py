@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from siltstone.llm.hash_runs import groups
 from siltstone.llm.runs import decode_runs, encode_runs
 from siltstone.llm.words import words
+from siltstone.sources.tables import spread
 
 #: Consecutive words that make a leak; an item of fewer, but at least SHORTEST, must stand whole.
 WINDOW = 12
@@ -201,7 +202,7 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
             whole = pa.RecordBatch.from_arrays(columns, names=schema.names)
             yield from (whole.slice(lo, 20_000) for lo in range(0, len(terms), 20_000))
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
 
 def _pairs(shard: Shard, phrases: Phrases, missing: int) -> np.ndarray:
@@ -299,6 +300,6 @@ def leaks(
                 if len(pairs := _pairs(shard, phrases, missing)):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
-        return docs.select(F.col(doc_key), F.col(doc_text)).mapInArrow(run, schema)
+        return spread(docs.select(F.col(doc_key), F.col(doc_text))).mapInArrow(run, schema)
 
     return _in_blocks(items, item_key, item_text, window, shortest, block_words, search)

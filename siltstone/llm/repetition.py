@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.words import words
+from siltstone.sources.tables import spread
 
 GRAM = 5
 MIN_WORDS = 20
@@ -162,7 +163,7 @@ def find_repetitive(
             if passed:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(passed, type=pa.int64()))], names=[key])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
 
 def _repeated_share(parts: list[str]) -> float:
@@ -208,4 +209,4 @@ def repetition_shares(df: DataFrame, key: str, text: str, *, gram: int = GRAM) -
             if columns:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], type=pa.int64()), *(pa.array(c, type=pa.float64()) for c in columns[1:])], names=schema.names)
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.sources.tables import spread
+
 #: Pieces and token pairs that a worker remembers before it starts anew; each entry is some hundred bytes.
 REMEMBERED = 200_000
 #: Longer pieces are encoded each time, so the memory's size is bounded by its number of entries.
@@ -47,10 +51,10 @@ class Tables:
     ``offsets`` and ``blob`` hold all tokens' bytes end to end, for decoding.
     """
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], parts: list[tuple[int, int]] | None = None):
         self.tokens = tokens
         self.ids = {t: i for i, t in enumerate(tokens)}
-        self.parts = [self._last_merge(i, t) for i, t in enumerate(tokens)]
+        self.parts = [self._last_merge(i, t) for i, t in enumerate(tokens)] if parts is None else parts
         self.merges = {p: i for i, p in enumerate(self.parts) if p[0] != i}
         self.prefix: list[int] = [self._shorter(t) for t in tokens]
         self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -173,23 +177,36 @@ _MADE: dict[int, Encoder] = {}
 
 def _encoder(vocabulary: Broadcast) -> Encoder:
     """The worker's encoder; made once and kept while the worker is used again."""
-    key = hash(tuple(vocabulary.value))
+    tokens, parts = vocabulary.value
+    key = hash(tuple(tokens))
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = Encoder(Tables(vocabulary.value))
+        _MADE[key] = Encoder(Tables(tokens, parts))
     return _MADE[key]
 
 
+@lru_cache(maxsize=4)
+def _read(path: str, _: tuple[int, int]) -> tuple[list[bytes], list[tuple[int, int]]]:
+    tokens = read_ranks(path)
+    return tokens, Tables(tokens).parts
+
+
+def _share(df: DataFrame, vocabulary: str) -> Broadcast:
+    """The tokens and the merges that make them, worked out by the driver once for a file, for all workers."""
+    stat = os.stat(vocabulary)
+    return df.sparkSession.sparkContext.broadcast(_read(vocabulary, (stat.st_mtime_ns, stat.st_size)))
+
+
 def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``key`` and ``ids`` (ARRAY<INT>) of each row: the tokens of ``text``, without special tokens or any cleaning.
 
-    No shuffle: the rows are encoded where they are read. ``vocabulary`` is read by the driver and sent to the workers; its
+    No shuffle where a scan has a task for each core: the rows are encoded where they are read. ``vocabulary`` is read by the driver and sent to the workers; its
     size is checked. Strings that look like special tokens are ordinary text.
 
     Defined cases: a null or empty text gives an empty list; equal rows give equal rows; texts of any length take time in
     proportion to their length; an empty input gives no rows; other columns play no part, whatever their names.
     """
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = _share(df, vocabulary)
     schema = T.StructType([T.StructField(key, df.select(key).schema[0].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,12 +220,12 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) ->
             lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), pa.array(np.frombuffer(ids, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "ids"])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``key`` and ``bytes`` (BINARY) of each row: what the ids stand for; null and empty lists give no bytes."""
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = _share(df, vocabulary)
     schema = T.StructType([T.StructField(key, df.select(key).schema[0].dataType), T.StructField("bytes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
