@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -33,16 +36,28 @@ class Files:
     def create(self, path: str, text: str) -> bool:
         """Writes a new file, whole or not at all; False if there is one already.
 
-        The text is written beside and renamed, which no file system does onto an existing file here: of two writers one wins.
+        The text is written beside first and then gets its name, which fails where there is such a file: of two writers one
+        wins.
         """
-        beside = self._path(f"{path}.{id(text):x}.tmp")
+        beside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if not self._fs.exists(self._path(path)) and self._fs.rename(beside, self._path(path)):
-            return True
-        self._fs.delete(beside, False)
-        return False
+        made = self._link(beside, path) if self._fs.getUri().getScheme() == "file" else self._rename(beside, path)
+        if self._fs.exists(beside):
+            self._fs.delete(beside, False)
+        return made
+
+    def _link(self, beside, path: str) -> bool:
+        """On a local file system a rename would replace; a second name for the file never does."""
+        try:
+            os.link(beside.toUri().getPath(), self._path(path).toUri().getPath())
+        except FileExistsError:
+            return False
+        return True
+
+    def _rename(self, beside, path: str) -> bool:
+        return not self._fs.exists(self._path(path)) and self._fs.rename(beside, self._path(path))
 
     def remove(self, path: str) -> bool:
         """Deletes a file or folder with all it holds."""

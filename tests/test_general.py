@@ -14,6 +14,7 @@ from siltstone.functions.instants import instant_ms, utc_day
 from siltstone.operators import features as X
 from siltstone.operators import salted as S
 from siltstone.operators import sessions as W
+from siltstone.sources.tables import spread
 
 # Spellings and the instants they are, None for none.
 SPELLINGS = {
@@ -187,3 +188,17 @@ def test_sessions_edges(spark):
     assert W.session_tree(df.filter("false").repartition(3), "ip", F.col("ms")).count() == 0
     with pytest.raises(ValueError):
         W.session_tree(df, "ip", F.col("ms"), floor_ms=5, ceiling_ms=4)
+
+
+def test_small_scans_are_spread_and_others_left(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.option("parquet.block.size", 1).parquet(str(tmp_path / "many"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    cores = spark.sparkContext.defaultParallelism
+    one, many = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "many"))
+    assert "Exchange" in spread(one.select("id"))._jdf.queryExecution().executedPlan().toString() and cores > 1
+    assert "Exchange" not in spread(many.select("id"))._jdf.queryExecution().executedPlan().toString()
+    assert spread(one).count() == spread(many).count() == 100
+    assert spread(spark.range(3)).count() == 3
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
