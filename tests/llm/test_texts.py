@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 import unicodedata
@@ -13,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from siltstone.llm import leaks as L
+from siltstone.llm import queries as Q
 from siltstone.llm import repetition as R
 from siltstone.llm import tokens as K
 from siltstone.llm.words import words
@@ -255,3 +257,24 @@ def test_shares(spark):
     assert np.isclose(got[5]["gram_share"], 45 / 46)
     assert R.repetition_shares(df.limit(0), "doc_id", "text").count() == 0
     assert df.select(F.count("*")).first()[0] == 6
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_queries_on_whole_small_tables(spark, known):
+    documents, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "eval_items"))
+    docs = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
+    windows: dict = {}
+    for r in items.select("item_id", "text").collect():
+        q = plain_words(r["text"])
+        for i in range(max(1, len(q) - 11) if len(q) >= 8 else 0):
+            windows.setdefault(tuple(q[i : i + 12]), set()).add(r["item_id"])
+    sizes = {len(w) for w in windows}
+    own = {d: plain_words(t) for d, t in docs.items()}
+    leaked = {(d, i) for d, w in own.items() for n in sizes for k in range(len(w) - n + 1) for i in windows.get(tuple(w[k : k + n]), ())}
+    assert sorted(map(tuple, Q.p7_found(spark, SMALL).collect())) == sorted(leaked)
+    assert {tuple(r) for r in L.leaks(documents, items, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text").collect()} == leaked
+    assert sorted(r[0] for r in Q.p8_found(spark, SMALL).collect()) == sorted(d for d, t in docs.items() if repetitive(t))
+    assert {r["doc_id"]: r["ids"] for r in Q.p6_ids(spark, SMALL).collect()} == {d: known.encode_ordinary(t or "") for d, t in docs.items()}
