@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.instants import duck_instant_ms, instant_ms
 from siltstone.operators import features, salted, sessions
-from siltstone.sources.tables import table
+from siltstone.sources.tables import spread, table
 
 SESSION_GAP_MS = 1_800_000
 FOUND_ONE_IN = 25
@@ -39,7 +39,8 @@ def p2_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.session_tree(table(spark, d, "siem_events"), "src_ip", instant_ms(F.col("_received_at")))
+    arrivals = spread(table(spark, d, "siem_events").select("src_ip", "_received_at"))
+    return sessions.session_tree(arrivals, "src_ip", instant_ms(F.col("_received_at")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
