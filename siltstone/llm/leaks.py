@@ -123,12 +123,14 @@ class Shard:
         mark[end[long]] -= 1
         return np.cumsum(mark[:-1]).astype(bool)
 
-    def find(self, phrases: Phrases, missing: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Documents (their places in the shard) and windows that match, with at most ``missing`` words elsewhere.
+    def find(self, phrases: Phrases, missing: int = 0, slop: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Documents (their places in the shard) and windows that match, with at most ``missing`` words elsewhere and the
+        others shifted by at most ``slop`` places against each other.
 
         Lists are taken from the rarest term on, each shifted by the term's offset in the window; a start that isn't in
         the next shifted list is dropped. With words missing, one of the ``missing + 1`` rarest must stand, so the starts
-        are the union of their lists, and a start is dropped when it has missed more.
+        are the union of their lists, and a start is dropped when it has missed more. With a slop, the next shifted list
+        needs a place within the slop of the start, and what is left is aligned word by word.
         """
         counts = np.where(phrases.rows >= 0, self.counts[phrases.rows], np.iinfo(np.int64).max)
         alive = np.flatnonzero((counts == 0).sum(axis=1) <= missing)
@@ -139,11 +141,11 @@ class Shard:
         lo = 0
         for hi in sorted({*(max(1, int(e)) for e in ends), len(alive)}):
             if hi > lo:
-                yield self._intersect(phrases, alive[lo:hi], order[lo:hi], leads[lo:hi], missing)
+                yield self._intersect(phrases, alive[lo:hi], order[lo:hi], leads[lo:hi], missing, slop)
                 lo = hi
 
-    def _intersect(self, phrases, windows, order, leads, missing) -> tuple[np.ndarray, np.ndarray]:
-        starts, which = [], []
+    def _intersect(self, phrases, windows, order, leads, missing, slop) -> tuple[np.ndarray, np.ndarray]:
+        starts, which, seeds = [], [], []
         for k in range(missing + 1):
             size = leads[:, k]
             term = phrases.rows[windows, order[:, k]]
@@ -151,7 +153,10 @@ class Shard:
             within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             starts.append(self.places[self.first[term][row] + within] - order[row, k])
             which.append(row)
+            seeds.append(order[row, k])
         start, row = np.concatenate(starts), np.concatenate(which)
+        if slop:
+            return self._aligned(phrases, windows, order, start, row, np.concatenate(seeds), missing, slop)
         keep = (start >= 0) & (start + phrases.sizes[windows[row]] <= len(self.at))
         start, row = start[keep], row[keep]
         missed = np.zeros(len(start), dtype=np.int8)
@@ -167,6 +172,43 @@ class Shard:
             document, row = document[document == last], row[document == last]
         return document, windows[row]
 
+    def _aligned(self, phrases, windows, order, start, row, seed, missing, slop) -> tuple[np.ndarray, np.ndarray]:
+        """The starts where all but ``missing`` words stand in order, their shifts within ``slop`` of each other.
+
+        A start comes from a word that stands (``seed`` is its offset), so its shift is 0 and the others lie between
+        ``-slop`` and ``slop``. First words without a place there are counted, which leaves few starts; for these the
+        longest common subsequence is taken in each band of ``slop + 1`` shifts around 0, inside the seed's document.
+        """
+        missed, last = np.zeros(len(start), dtype=np.int8), len(self.at) - 1
+        for k in range(phrases.rows.shape[1]):
+            offset = order[row, k]
+            term = phrases.rows[windows[row], offset]
+            lost = np.flatnonzero(term >= 0)
+            for shift in sorted(range(-slop, slop + 1), key=abs):
+                lost = lost[self.at[np.clip(start[lost] + offset[lost] + shift, 0, last)] != term[lost]]
+            missed[lost] += 1
+            keep = missed <= missing
+            start, row, seed, missed = start[keep], row[keep], seed[keep], missed[keep]
+        document = np.searchsorted(self.begins, start + seed, side="right") - 1
+        begin, end = self.begins[document], np.r_[self.begins[1:], len(self.at)][document]
+        terms, most = phrases.rows[windows[row]], np.zeros(len(start), dtype=np.int64)
+        for low in range(-slop, 1):
+            # Of the words up to one, the most that stand up to its place shifted by each shift of the band.
+            best = np.zeros((slop + 1, len(start)), dtype=np.int64)
+            for offset in range(terms.shape[1]):
+                before = best
+                best = before.copy()
+                best[:-1] = before[1:]
+                for i in range(slop + 1):
+                    place = start + offset + low + i
+                    stands = (terms[:, offset] >= 0) & (place >= begin) & (place < end) & (self.at[np.clip(place, 0, last)] == terms[:, offset])
+                    best[i] = np.maximum(best[i], before[i] + stands)
+                    if i:
+                        best[i] = np.maximum(best[i], best[i - 1])
+            most = np.maximum(most, best[-1])
+        keep = most >= phrases.sizes[windows[row]] - missing
+        return document[keep], windows[row[keep]]
+
 
 def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The positional inverted index of all words of all documents, to be stored and searched any number of times.
@@ -205,10 +247,10 @@ def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
 
-def _pairs(shard: Shard, phrases: Phrases, missing: int) -> np.ndarray:
+def _pairs(shard: Shard, phrases: Phrases, missing: int, slop: int) -> np.ndarray:
     """The different pairs of a document's place in the shard and an item's number."""
     found = [np.empty((0, 2), dtype=np.int64)]
-    for document, row in shard.find(phrases, missing):
+    for document, row in shard.find(phrases, missing, slop):
         size = phrases.owner_ends[row + 1] - phrases.owner_ends[row]
         own = np.repeat(phrases.owner_ends[row] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
         found.append(np.unique(np.c_[np.repeat(document, size), phrases.owners[own]], axis=0))
@@ -231,7 +273,17 @@ def _in_blocks(items: DataFrame, key: str, text: str, window: int, shortest: int
 
 
 def search_index(
-    index: DataFrame, items: DataFrame, *, doc_key: str, item_key: str, item_text: str, window: int = WINDOW, shortest: int = SHORTEST, missing: int = 0, block_words: int = BLOCK_WORDS
+    index: DataFrame,
+    items: DataFrame,
+    *,
+    doc_key: str,
+    item_key: str,
+    item_text: str,
+    window: int = WINDOW,
+    shortest: int = SHORTEST,
+    missing: int = 0,
+    slop: int = 0,
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """The same pairs as ``leaks``, from a stored index instead of the texts.
 
@@ -254,7 +306,7 @@ def search_index(
                     ids = np.array([phrases.terms[t] for t in own.column("term").to_pylist()[1:]], dtype=np.int64)
                     bounds = decode_runs(first[:1], n[:1], runs.slice(0, 1))
                     shard = Shard.of_postings(bounds, ids, first[1:], n[1:], runs.slice(1), len(phrases.terms))
-                    if len(pairs := _pairs(shard, phrases, missing)):
+                    if len(pairs := _pairs(shard, phrases, missing, slop)):
                         yield pa.RecordBatch.from_arrays([keys.slice(0, 1).flatten().take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
         return needed.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first()).mapInArrow(run, schema)
@@ -273,12 +325,16 @@ def leaks(
     window: int = WINDOW,
     shortest: int = SHORTEST,
     missing: int = 0,
+    slop: int = 0,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``doc_key`` and ``item_key`` of each document that holds ``window`` consecutive words of an item.
 
     Words are those of ``words``. An item of ``shortest`` to ``window - 1`` words must stand whole; a shorter one never
     counts. ``missing`` above 0 finds near matches too: so many words of the passage may be others, in their places.
+    ``slop`` above 0 adds proximity: the words that stand need not stand in their places, only in their order, with their
+    shifts (place in the document less offset in the passage) at most ``slop`` apart. So other words may lie in between,
+    and words that are ``missing`` may be dropped without a word in their place, also where the document begins or ends.
 
     The documents are never moved: each batch of them becomes one shard of a positional inverted index, held by the task
     that read it, and the test items go to the shards. Items are sent in blocks of at most ``block_words`` words, each
@@ -288,16 +344,16 @@ def leaks(
     items with equal keys count as one; a null key is kept as it is; empty tables give no rows; other columns play no part,
     whatever their names.
     """
-    if not 0 <= missing < shortest <= window or doc_key == item_key:
-        raise ValueError("missing < shortest <= window and different key names are required")
+    if not 0 <= missing < shortest <= window or slop < 0 or doc_key == item_key:
+        raise ValueError("missing < shortest <= window, no negative slop and different key names are required")
     schema = T.StructType([T.StructField(doc_key, docs.select(doc_key).schema[0].dataType), T.StructField(item_key, items.select(item_key).schema[0].dataType)])
 
     def search(shared: Broadcast, _: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases, names = shared.value
             for batch in batches:
-                shard = Shard.of_texts(batch.column(1).to_pylist(), phrases.terms, 1 if missing else shortest)
-                if len(pairs := _pairs(shard, phrases, missing)):
+                shard = Shard.of_texts(batch.column(1).to_pylist(), phrases.terms, 1 if missing or slop else shortest)
+                if len(pairs := _pairs(shard, phrases, missing, slop)):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
         return spread(docs.select(F.col(doc_key), F.col(doc_text))).mapInArrow(run, schema)

@@ -171,6 +171,65 @@ def test_leaks_against_brute_force(spark, missing, how):
     assert L.leaks(left, right.limit(0), **keys).count() == 0
 
 
+def stands_within(q, own, missing, slop):
+    """Whether all but ``missing`` words of q stand in own in order, at places less offsets from some base to ``slop`` more."""
+
+    def rest(base, offset, after, left):
+        if left < 0 or offset == len(q):
+            return left >= 0
+        places = [p for p in range(max(after, base + offset), min(base + offset + slop + 1, len(own))) if own[p] == q[offset]]
+        return any(rest(base, offset + 1, p + 1, left) for p in places) or rest(base, offset + 1, after, left - 1)
+
+    return any(rest(base, 0, 0, missing) for base in range(-len(q) - slop, len(own) + 1))
+
+
+def brute_near(docs, items, missing, slop):
+    windows = [(item, q[i : i + 12]) for item, text in items if len(q := words(text)) >= 8 for i in range(max(1, len(q) - 11))]
+    return {(doc, item) for doc, text in docs for item, q in windows if stands_within(q, words(text), missing, slop)}
+
+
+def near_corpus(rng):
+    """Passages with words put in, dropped, replaced and swapped; some at the very beginning or end of a document."""
+    vocabulary = ["the", "of", *(f"w{i}" for i in range(30))]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([7, 8, 10, 12, 14])))) for i in range(12)]
+    docs = []
+    for d in range(80):
+        own = words(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randint(0, 1)] = [rng.choice(vocabulary) for _ in range(rng.randint(0, 1))]
+        around = [[rng.choice(vocabulary) for _ in range(rng.choice([0, 0, 3, 9]))] for _ in range(2)]
+        docs.append((d, " ".join([*around[0], *own, *around[1]])))
+    return [*docs, (900, None), (901, ""), (902, "the " * 30)], items
+
+
+@pytest.mark.parametrize(("missing", "slop", "how"), [(2, 2, {}), (2, 2, {"block_words": 40}), (0, 1, {}), (1, 3, {})])
+def test_near_leaks_against_brute_force(spark, missing, slop, how):
+    docs, items = near_corpus(random.Random(10 * missing + slop))
+    want = brute_near(docs, items, missing, slop)
+    assert brute_leaks(docs, items, missing) < want
+    left, right = (spark.createDataFrame(x, schema) for x, schema in ((docs, "doc_id long, text string"), (items, "item_id long, text string")))
+    names = {"doc_key": "doc_id", "item_key": "item_id", "item_text": "text"}
+    got = [tuple(r) for r in L.leaks(left, right, **names, doc_text="text", missing=missing, slop=slop, **how).collect()]
+    assert sorted(got) == sorted(want)
+    index = L.build_index(left, "doc_id", "text").cache()
+    assert sorted(map(tuple, L.search_index(index, right, **names, missing=missing, slop=slop, **how).collect())) == sorted(want)
+
+
+def test_words_in_between_and_dropped():
+    item = [f"w{i}" for i in range(12)]
+    more = [[*item[:6], *["x"] * n, *item[6:]] for n in range(4)]
+    fewer = [item[:5] + item[5 + n :] for n in range(4)]
+    ends = [item[2:], item[:-2], item[3:]]
+    swapped = [[*item[:4], item[5], item[4], *item[6:]]]
+    texts = [" ".join(t) for t in (*more, *fewer, *ends, *swapped, item[6:], item[:6])]
+    phrases = L.Phrases([(0, item)], 12)
+    shard = L.Shard.of_texts(texts, phrases.terms, 1)
+    found = lambda missing, slop: {x for d, _ in shard.find(phrases, missing, slop) for x in d.tolist()}
+    assert found(2, 2) == {0, 1, 2, 4, 5, 6, 8, 9, 11}
+    assert found(2, 0) == {0, 4, 11} and found(0, 1) == {0, 1, 4}
+
+
 def test_long_items_are_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr(L, "PIECE_WORDS", 20)
     text = " ".join(f"w{i}" for i in range(100))
