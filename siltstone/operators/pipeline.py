@@ -99,7 +99,7 @@ def outcome(frame: Frame, stages: list[Stage], row_order: list[str], mark_trunca
 
     ``row_order`` breaks ties and orders rows as long as no $group has made new ones, whose order is by ``_id`` only where
     asked for. ``$sort`` followed by ``$skip`` and ``$limit`` is one bounded top-k. With ``mark_truncated`` every $collect
-    has a companion column ``_truncated_<name>``.
+    has a companion column ``_truncated_<name>``; without it, a $collect of more values than the cap fails when it is run.
     """
     done = Outcome(frame.df)
     order: list[Column] | None = None
@@ -168,8 +168,11 @@ def group(frame: Frame, key: object, made: dict[str, Accumulator], mark_truncate
     flags = {}
     for i, (name, a) in enumerate((n, a) for n, a in made.items() if a.op == "$collect"):
         grouped = _with_collected(frame, grouped, [k.alias(f"j{j}") for j, k in enumerate(p.column for p in parts.values())], list(names.values()), a, f"c{i}")
-        out[name] = F.slice(F.coalesce(F.col(f"c{i}"), F.array()), 1, COLLECT_CAP)
-        flags[f"_truncated_{name}"] = F.coalesce(F.size(f"c{i}") > COLLECT_CAP, F.lit(False))
+        cut = F.coalesce(F.size(f"c{i}") > COLLECT_CAP, F.lit(False))
+        kept = F.slice(F.coalesce(F.col(f"c{i}"), F.array()), 1, COLLECT_CAP)
+        refused = F.raise_error(F.lit(f"$collect of {name!r} has more than {COLLECT_CAP} values in a group; mark_truncated keeps the smallest and marks the cut"))
+        out[name] = kept if mark_truncated else F.when(cut, refused).otherwise(kept)
+        flags[f"_truncated_{name}"] = cut
     if compound:
         ids = F.struct(*(p.recover(names[a]).alias(a) for a, p in parts.items())) if parts else F.struct()
     else:

@@ -192,10 +192,23 @@ _pipes(
     [{"$group": {"_id": "l_returnflag", "statuses": {"$collect": "l_linestatus"}}}],
     "select l_returnflag as _id, list_sort(list(distinct l_linestatus)) as statuses from lineitem group by 1",
 )
-_pipes(
+
+
+def _ports(spark: SparkSession, d: str) -> DataFrame:
+    stages = [{"$group": {"_id": "severity", "ports": {"$collect": "network.dst_port"}, "n": {"$count": {}}}}]
+    return P.run(_frame(spark, d, "siem_events"), stages, mark_truncated=True)
+
+
+_add(
+    "group_collect_marked",
+    _ports,
+    """select severity as _id, coalesce(list_sort(list(distinct network.dst_port) filter (network.dst_port is not null))[:1000], []) as ports, count(*) as n,
+        count(distinct network.dst_port) > 1000 as _truncated_ports from siem_events group by 1""",
+)
+#: Its SQL cuts without a mark; group_collect_marked is the same with it.
+_add(
     "group_collect_nulls",
-    "siem_events",
-    [{"$group": {"_id": "severity", "ports": {"$collect": "network.dst_port"}, "n": {"$count": {}}}}],
+    lambda s, d: _ports(s, d).drop("_truncated_ports"),
     "select severity as _id, coalesce(list_sort(list(distinct network.dst_port) filter (network.dst_port is not null))[:1000], []) as ports, count(*) as n from siem_events group by 1",
 )
 _pipes(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
 import pytest
@@ -16,6 +17,7 @@ from siltstone.operators import pipeline as P
 from siltstone.operators import query as Q
 from siltstone.operators import rollup as R
 from siltstone.operators.filters import compile_filter, parse
+from siltstone.plans import catalogue
 from tests.canon import matches
 
 # Documents with every type at one path, missing and null fields, and awkward names.
@@ -200,6 +202,22 @@ def test_collect_is_cut_at_the_cap(spark):
     assert rows[1]["c"][:3] == [1, 3, 5]
 
 
+def test_collect_above_the_cap_is_marked_or_fails(spark):
+    df = spark.range(2001).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    stages = [{"$group": {"_id": "g", "c": {"$collect": "v"}}}]
+    with pytest.raises(Exception, match="more than 1000 values"):
+        P.run(Frame(df), stages).collect()
+    assert [len(r["c"]) for r in P.run(Frame(df.filter("g = 1")), stages).collect()] == [1000]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_the_collected_ports_say_where_they_are_cut(spark):
+    rows = catalogue.QUERIES["group_collect_marked"](spark, "/root/testdata/sf0.01").collect()
+    ports = spark.read.parquet("/root/testdata/sf0.01/siem_events.parquet").groupBy("severity").agg(F.countDistinct("network.dst_port").alias("n"))
+    assert {r["_id"]: (len(r["ports"]), r["_truncated_ports"]) for r in rows} == {r["severity"]: (min(r["n"], 1000), r["n"] > 1000) for r in ports.collect()}
+    assert any(r["_truncated_ports"] for r in rows)
+
+
 @pytest.mark.parametrize(
     "bad",
     [[], {}, [1], [{}], [{"$match": {}, "$limit": 1}], [{"$what": 1}], [{"$limit": -1}], [{"$limit": "1"}], [{"$limit": True}], [{"$group": {"n": {"$count": {}}}}], [{"$group": {"_id": None, "n": {"$sum": 1}}}], [{"$group": {"_id": None, "n": {"$median": "a"}}}], [{"$group": {"_id": None, "n": 1}}], [{"$sort": []}], [{"$limit": 1}] * 101],
