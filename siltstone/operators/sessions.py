@@ -1,4 +1,4 @@
-"""Sessions: events of an entity cut at long silences, for any length of silence, from one tree."""
+"""Sessions: events of an entity cut at long silences, for any length of silence between a tree's floor and ceiling, from one tree."""
 
 from __future__ import annotations
 
@@ -113,6 +113,8 @@ def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int =
     Columns ``entity`` (under its own name), ``gap_ms``, ``parent_gap_ms``, ``start_ms``, ``end_ms``, ``n_events``: the
     nodes of the Cartesian tree over the gaps between an entity's consecutive instants. A row is a session for every
     setting ``t`` with ``gap_ms <= t < parent_gap_ms``; so ``cut`` is a filter that reaches the scan of the stored tree.
+    The metadata of ``gap_ms`` has ``floor_ms`` and ``ceiling_ms``, which a stored tree keeps too. A tree for settings
+    outside the defaults is grown with other ones: ``floor_ms=0, ceiling_ms=CUT - 1`` holds every setting.
 
     The events are range-partitioned by entity, instant and position in the input, so that an entity with a third of all
     rows spreads over a third of the partitions, however many of its instants are equal. Each slab of a partition grows its
@@ -147,7 +149,7 @@ def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int =
     nodes = chunks.filter(F.col("kind") == _NODE).unionByName(middle.filter(F.col("kind") == _NODE)).unionByName(last.filter(F.col("kind") == _NODE))
     return nodes.select(
         F.col("entity").alias(entity),
-        F.col("gap").alias("gap_ms"),
+        F.col("gap").alias("gap_ms", metadata={"floor_ms": floor_ms, "ceiling_ms": ceiling_ms}),
         F.col("parent").alias("parent_gap_ms"),
         F.col("start").alias("start_ms"),
         F.col("end").alias("end_ms"),
@@ -156,6 +158,14 @@ def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int =
 
 
 def cut(tree: DataFrame, gap_ms: int) -> DataFrame:
-    """The sessions for one setting: a new one starts when more than ``gap_ms`` have passed. The tree must reach it."""
+    """The sessions for one setting: a new one starts when more than ``gap_ms`` have passed.
+
+    A setting outside the tree's floor and ceiling is an error, and so is a tree that doesn't say them.
+    """
+    reach = tree.schema["gap_ms"].metadata
+    if not {"floor_ms", "ceiling_ms"} <= reach.keys():
+        raise ValueError("the metadata of gap_ms doesn't say the tree's floor_ms and ceiling_ms")
+    if not reach["floor_ms"] <= gap_ms <= reach["ceiling_ms"]:
+        raise ValueError(f"the tree holds settings from {reach['floor_ms']} to {reach['ceiling_ms']} ms, not {gap_ms}")
     nodes = tree.filter((F.col("gap_ms") <= gap_ms) & (F.col("parent_gap_ms") > gap_ms))
     return nodes.drop("gap_ms", "parent_gap_ms").withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
