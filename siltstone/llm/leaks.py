@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from siltstone.llm.hash_runs import groups
 from siltstone.llm.runs import decode_runs, encode_runs
 from siltstone.llm.words import words
+from siltstone.sources.scratch import materialize
 from siltstone.sources.tables import spread
 
 #: Consecutive words that make a leak; an item of fewer, but at least SHORTEST, must stand whole.
@@ -257,19 +258,18 @@ def _pairs(shard: Shard, phrases: Phrases, missing: int, slop: int) -> np.ndarra
     return np.unique(np.concatenate(found), axis=0)
 
 
-def _in_blocks(items: DataFrame, key: str, text: str, window: int, shortest: int, block_words: int, search: Callable[[Broadcast, DataFrame], DataFrame]) -> DataFrame:
-    """``search`` with each block of items: the phrases and keys sent to the workers, and the block's pieces."""
+def _pieces(items: DataFrame, key: str, text: str, window: int, shortest: int, block_words: int) -> tuple[DataFrame, int]:
+    """The pieces of the items and the number of blocks to search them in."""
     pieces = item_pieces(items, key, text, window, shortest)
-    blocks = max(1, math.ceil((pieces.agg(F.sum(F.size("words"))).first()[0] or 0) / block_words))
-    kind, found = to_arrow_type(items.select(key).schema[0].dataType), None
-    for block in range(blocks):
-        mine = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block) if blocks > 1 else pieces
-        rows = mine.collect()
-        number = {k: i for i, k in enumerate(dict.fromkeys(r["item"] for r in rows))}
-        phrases = Phrases([(number[r["item"]], r["words"]) for r in rows], window)
-        part = search(items.sparkSession.sparkContext.broadcast((phrases, pa.array(list(number), type=kind))), mine)
-        found = part if found is None else found.unionByName(part)
-    return found.distinct() if blocks > 1 else found
+    return pieces, max(1, math.ceil((pieces.agg(F.sum(F.size("words"))).first()[0] or 0) / block_words))
+
+
+def _block(pieces: DataFrame, window: int) -> Broadcast:
+    """A block's phrases and the keys of its items, sent to the workers."""
+    rows = pieces.collect()
+    number = {k: i for i, k in enumerate(dict.fromkeys(r["item"] for r in rows))}
+    phrases = Phrases([(number[r["item"]], r["words"]) for r in rows], window)
+    return pieces.sparkSession.sparkContext.broadcast((phrases, pa.array(list(number), type=to_arrow_type(pieces.schema["item"].dataType))))
 
 
 def search_index(
@@ -288,9 +288,12 @@ def search_index(
     """The same pairs as ``leaks``, from a stored index instead of the texts.
 
     Only the postings of terms of the test items are read on, by a join with the block's terms, whose number is bounded by
-    ``block_words``; a shard's postings meet in one task and are intersected there.
+    ``block_words``; a shard's postings meet in one task and are intersected there. An item may have pieces in several
+    blocks; what they find twice is made one by the document's shard and place in it, whatever its key. So the index must
+    be stored where there are several blocks: each of them has to read the same shards.
     """
-    schema = T.StructType([T.StructField(doc_key, index.schema["keys"].dataType.elementType), T.StructField(item_key, items.select(item_key).schema[0].dataType)])
+    kinds = index.schema["keys"].dataType.elementType, items.select(item_key).schema[0].dataType
+    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("place", T.LongType()), T.StructField("doc", kinds[0]), T.StructField("item", kinds[1])])
 
     def search(shared: Broadcast, pieces: DataFrame) -> DataFrame:
         terms = F.broadcast(pieces.select(F.explode("words").alias("term")).distinct())
@@ -307,11 +310,21 @@ def search_index(
                     bounds = decode_runs(first[:1], n[:1], runs.slice(0, 1))
                     shard = Shard.of_postings(bounds, ids, first[1:], n[1:], runs.slice(1), len(phrases.terms))
                     if len(pairs := _pairs(shard, phrases, missing, slop)):
-                        yield pa.RecordBatch.from_arrays([keys.slice(0, 1).flatten().take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
+                        place = pa.array(pairs[:, 0])
+                        number = own.column("shard").combine_chunks().take(pa.array(np.zeros(len(pairs), dtype=np.int64)))
+                        yield pa.RecordBatch.from_arrays([number, place, keys.slice(0, 1).flatten().take(place), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
         return needed.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first()).mapInArrow(run, schema)
 
-    return _in_blocks(items, item_key, item_text, window, shortest, block_words, search)
+    pieces, blocks = _pieces(items, item_key, item_text, window, shortest, block_words)
+    found = None
+    for block in range(blocks):
+        mine = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block) if blocks > 1 else pieces
+        part = search(_block(mine, window), mine)
+        found = part if found is None else found.unionByName(part)
+    if blocks > 1:
+        found = found.dropDuplicates(["shard", "place", "item"])
+    return found.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
 
 
 def leaks(
@@ -337,8 +350,8 @@ def leaks(
     and words that are ``missing`` may be dropped without a word in their place, also where the document begins or ends.
 
     The documents are never moved: each batch of them becomes one shard of a positional inverted index, held by the task
-    that read it, and the test items go to the shards. Items are sent in blocks of at most ``block_words`` words, each
-    block searched in all shards, so what is broadcast has a bound however many items there are; usually one block.
+    that read it, and the test items go to the shards. What is broadcast has a bound however many items there are: when
+    they have more than ``block_words`` words, the index is stored once and searched in blocks by ``search_index``.
 
     Defined cases: null, empty and blank texts have no words and match nothing; rows with equal keys give rows of their own,
     items with equal keys count as one; a null key is kept as it is; empty tables give no rows; other columns play no part,
@@ -348,14 +361,18 @@ def leaks(
         raise ValueError("missing < shortest <= window, no negative slop and different key names are required")
     schema = T.StructType([T.StructField(doc_key, docs.select(doc_key).schema[0].dataType), T.StructField(item_key, items.select(item_key).schema[0].dataType)])
 
-    def search(shared: Broadcast, _: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases, names = shared.value
-            for batch in batches:
-                shard = Shard.of_texts(batch.column(1).to_pylist(), phrases.terms, 1 if missing or slop else shortest)
-                if len(pairs := _pairs(shard, phrases, missing, slop)):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
+    pieces, blocks = _pieces(items, item_key, item_text, window, shortest, block_words)
+    if blocks > 1:
+        index = materialize(build_index(docs, doc_key, doc_text), "postings")
+        how = {"window": window, "shortest": shortest, "missing": missing, "slop": slop, "block_words": block_words}
+        return search_index(index, items, doc_key=doc_key, item_key=item_key, item_text=item_text, **how)
+    shared = _block(pieces, window)
 
-        return spread(docs.select(F.col(doc_key), F.col(doc_text))).mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, names = shared.value
+        for batch in batches:
+            shard = Shard.of_texts(batch.column(1).to_pylist(), phrases.terms, 1 if missing or slop else shortest)
+            if len(pairs := _pairs(shard, phrases, missing, slop)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
-    return _in_blocks(items, item_key, item_text, window, shortest, block_words, search)
+    return spread(docs.select(F.col(doc_key), F.col(doc_text))).mapInArrow(run, schema)

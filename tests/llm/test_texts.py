@@ -230,6 +230,21 @@ def test_words_in_between_and_dropped():
     assert found(2, 0) == {0, 4, 11} and found(0, 1) == {0, 1, 4}
 
 
+@pytest.mark.parametrize("block_words", [1_000_000, 25])
+def test_rows_with_equal_keys_stay_apart_in_blocks(spark, monkeypatch, block_words):
+    monkeypatch.setattr(L, "PIECE_WORDS", 20)
+    long = " ".join(f"w{i}" for i in range(60))
+    items = [(1, long), (2, " ".join(f"v{i}" for i in range(20))), (1, " ".join(f"w{i}" for i in range(30, 50))), (None, " ".join(f"u{i}" for i in range(12)))]
+    docs = [(7, long), (7, long), (7, "no"), (None, long), (None, items[3][1]), (8, items[1][1] + " . " + long), (None, long)]
+    left, right = (spark.createDataFrame(x, schema) for x, schema in ((docs, "shard long, text string"), (items, "place long, text string")))
+    want = sorted([(7, 1), (7, 1), (None, 1), (None, 1), (None, None), (8, 1), (8, 2)], key=repr)
+    names = {"doc_key": "shard", "item_key": "place", "item_text": "text", "block_words": block_words}
+    got = L.leaks(left.repartition(2), right, doc_text="text", **names)
+    assert got.columns == ["shard", "place"] and sorted(map(tuple, got.collect()), key=repr) == want
+    index = L.build_index(left, "shard", "text").cache()
+    assert sorted(map(tuple, L.search_index(index, right, **names).collect()), key=repr) == want
+
+
 def test_long_items_are_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr(L, "PIECE_WORDS", 20)
     text = " ".join(f"w{i}" for i in range(100))
