@@ -5,18 +5,33 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import regex
-
 _TAG = re.compile(r"<[^<>]*>")
 _LINK = re.compile(r"\[\[[^\[\]|]*\|([^\[\]|]*)\]\]")
-_REFERENCE = re.compile(r"&(?:(nbsp|amp|quot|lt|gt|ndash|mdash|shy)|#([0-9]{1,4000})|#x([0-9A-Fa-f]{1,4000}));")
+# Leading zeros don't count; more digits than here are no character, whatever they are. The x may be of either case.
+_REFERENCE = re.compile(r"&(?:(nbsp|amp|quot|lt|gt|ndash|mdash|shy)|#0*([0-9]{1,7})|#[xX]0*([0-9A-Fa-f]{1,6}));")
 _DROPPED = re.compile("[­​-‍⁠﻿]+")
-_WORD = regex.compile(r"[぀-ヿ㐀-鿿]|[[\p{L}\p{M}\p{N}]--[぀-ヿ㐀-鿿]]+", regex.V1)
 # The named references and what they stand for.
 _NAMED = {"nbsp": " ", "amp": "&", "quot": '"', "lt": "<", "gt": ">", "ndash": "–", "mdash": "—", "shy": "­"}
 _ASCII = bytes(ord(chr(c).lower()) if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 
 
+class _Places(dict):
+    """What each character becomes before words are split at blanks: kana and Han stand alone, letters, marks and digits stay,
+    others become blanks. Filled as characters are met, from the tables of the interpreter that NFKC and lower case use too."""
+
+    def __missing__(self, code: int) -> str | int:
+        c = chr(code)
+        if 0x3040 <= code <= 0x30FF or 0x3400 <= code <= 0x9FFF:
+            made = f" {c} "
+        else:
+            made = code if unicodedata.category(c)[0] in "LMN" else " "
+        self[code] = made
+        return made
+
+
+_PLACES = _Places()
+
+
 def _decoded(m: re.Match) -> str:
     """What one reference stands for; itself, if its number is no character."""
     if m[1]:
@@ -43,5 +58,5 @@ def words(text: str | None) -> list[str]:
     if not text.isascii():
         text = _DROPPED.sub("", unicodedata.normalize("NFKC", text)).lower()
         if not text.isascii():
-            return _WORD.findall(text)
+            return text.translate(_PLACES).split()
     return text.encode().translate(_ASCII).decode().split()

@@ -9,7 +9,6 @@ import unicodedata
 
 import numpy as np
 import pytest
-import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -40,7 +39,7 @@ TEXTS = [
 
 
 def plain_words(text):
-    """The definition, step by step, without any short way."""
+    """The definition, step by step, without any short way; shares neither code nor tables made from others with ``words``."""
     if text is None:
         return []
     text = re.sub(r"<[^<>]*>", " ", text)
@@ -50,16 +49,17 @@ def plain_words(text):
     def one(m):
         if m[1]:
             return named[m[1]]
-        n = int(m[3], 16) if m[3] else int(m[2])
+        digits = (m[3] or m[2]).lstrip("0") or "0"
+        n = int(digits, 16 if m[3] else 10) if len(digits) < 9 else 0x110000
         return chr(n) if n < 0x110000 and not 0xD800 <= n <= 0xDFFF else m[0]
 
-    text = re.sub(r"&(?:(nbsp|amp|quot|lt|gt|ndash|mdash|shy)|#(\d+)|#x([0-9a-fA-F]+));", one, text)
+    text = re.sub(r"&(?:(nbsp|amp|quot|lt|gt|ndash|mdash|shy)|#([0-9]+)|#[xX]([0-9a-fA-F]+));", one, text)
     text = unicodedata.normalize("NFKC", text)
     text = "".join(c for c in text if not (c in "­⁠﻿" or "​" <= c <= "‍")).lower()
     out, run = [], ""
     for c in text:
         own = "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿"
-        if not own and regex.match(r"[\p{L}\p{M}\p{N}]", c):
+        if not own and unicodedata.category(c)[0] in "LMN":
             run += c
             continue
         if run:
@@ -82,7 +82,11 @@ def known(tables):
 
 def test_words_by_definition():
     rng = random.Random(3)
-    pieces = ["<", ">", "[[", "]]", "|", "&amp;", "&#x41;", "&#3", ";", "a", "B", "é", "é", "​", "中", "ア", " ", "\n", "ß", "İ", "①", "½", "ﬀ", "\U0001d400", "&lt;"]
+    pieces = ["<", ">", "[[", "]]", "|", "&amp;", "&#x41;", "&#3", ";", "a", "B", "é", "é", "​", "中", "ア", " ", "\n", "ß", "İ", "①", "½", "ﬀ", "\U0001d400", "&lt;", "&#X3a3;", "&#x" + "0" * 5000 + "41;", "&#" + "9" * 5000 + ";", "&#0;", "&#xD800;", "\ud800", "Σ", "'"]
+    for low in range(0, 0x110000, 4096):
+        every = "\n".join(f"a{chr(c)}B {chr(c)}" for c in range(low, low + 4096))
+        assert words(every) == plain_words(every), hex(low)
+    assert words("NEA&#X72; BR&#x79;&#109;EDAL") == ["near", "brymedal"]
     for text in [*TEXTS, *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(3000))]:
         assert words(text) == plain_words(text), text
 
