@@ -17,12 +17,14 @@ from siltstone.sources.scratch import materialize
 
 #: Hashes that a slice should hold at most; the slices of a group are united apart from each other.
 SLICE_HASHES = 1 << 20
-MAX_SLICE_BITS = 16
+#: Slices are numbered by at most so many bits, enough for 2 ** 50 hashes.
+MAX_SLICE_BITS = 30
 #: Hashes in a stored run; a longer run goes on in the next row.
 RUN_HASHES = 1 << 18
 #: Stands for a missing day, in days since 1970; no date reaches so far back.
 NO_DAY = -(1 << 31)
-_RUN_FIELDS = "day date, event_type string, slice int, first bigint, n bigint, run binary"
+_RUN_FIELDS = "day date, event_type string, bits int, slice int, first bigint, n bigint, run binary"
+_RUN_NAMES = ["day", "event_type", "bits", "slice", "first", "n", "run"]
 
 
 def unite(runs: list[np.ndarray]) -> np.ndarray:
@@ -39,9 +41,16 @@ def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both[np.r_[True, both[1:] != both[:-1]]]
 
 
-def slice_bits(rows: int, per_slice: int = SLICE_HASHES) -> int:
-    """Leading bits of a hash that number its slice, so that a slice of ``rows`` different hashes has ``per_slice``."""
-    return min(MAX_SLICE_BITS, max(0, math.ceil(math.log2(max(1, rows / per_slice)))))
+def slice_bits(hashes: int, per_slice: int = SLICE_HASHES) -> int:
+    """Leading bits of a hash that number its slice, so that a slice of so many different hashes has ``per_slice``."""
+    return min(MAX_SLICE_BITS, max(0, math.ceil(math.log2(max(1, hashes / per_slice)))))
+
+
+def _at_most_hashes(hashed: DataFrame) -> int:
+    """A guess from the planner's size of the hashed rows, without a job; a count where it knows none. It steers how runs
+    are cut, which every run says of itself, and never a result."""
+    size = int(hashed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size // 8 if size < 1 << 60 else hashed.count()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -72,40 +81,86 @@ def _begins(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], size: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables, and where their runs begin: a run is all of a group, or ``size`` rows of a longer one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(b.num_rows for b in held) >= size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            begin = _begins(table, keys)
+            end = begin[-1] or size
+            yield table.slice(0, end), begin[begin < end]
+            held = table.slice(end).to_batches()
+    if sum(b.num_rows for b in held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _begins(table, keys)
+
+
 def hash_runs(df: DataFrame, day: Column, event_type: str, identifier: str, *, per_slice: int = SLICE_HASHES, run_hashes: int = RUN_HASHES) -> DataFrame:
     """The mergeable partial results: for each day and type the hashes of its different identifiers, as sorted runs.
 
-    Columns ``day``, ``event_type``, ``slice`` (the hash's leading bits), ``first`` (the run's first hash), ``n`` and
-    ``run`` (the further hashes, delta-coded). Slices have ranges of hashes of their own, so they are united and counted
-    apart and their counts add up; no task ever holds more than one slice of one group, and a group of any size spreads.
-    The runs of different days, types or inputs with equal slicing can be united at any later time.
+    Columns ``day``, ``event_type``, ``bits`` and ``slice`` (so many leading bits of the hashes, and their value), ``first``
+    (the run's first hash), ``n`` and ``run`` (the further hashes, delta-coded; at most ``run_hashes`` in all). Slices have
+    ranges of hashes of their own, so they are united and counted apart and their counts add up; no task ever holds more
+    than one slice of one group, and a group of any size spreads. The runs of different days, types and inputs can be united
+    at any later time, whatever the slices of each.
     """
-    bits = slice_bits(df.select(F.count(F.lit(1))).first()[0], per_slice)
     hashed = df.select(day.alias("day"), F.col(event_type).alias("event_type"), F.xxhash64(F.col(identifier)).alias("h"), F.col(identifier).isNull().alias("none"))
+    bits = slice_bits(_at_most_hashes(hashed), per_slice)
     part = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
     different = hashed.filter(~F.col("none")).groupBy("day", "event_type", "h").agg(F.lit(1).alias("x")).select("day", "event_type", part.alias("slice"), "h")
     keys = ["day", "event_type", "slice"]
     ordered = different.repartition(*keys).sortWithinPartitions(*keys, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column("h").to_numpy()
-            begin = _begins(pa.Table.from_batches([batch]), keys)
-            begin = np.unique(np.r_[begin, np.arange(0, len(h), run_hashes)])
-            end = np.r_[begin[1:], len(h)]
-            own = [batch.column(k).take(pa.array(begin)) for k in keys]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(h[begin]), pa.array(end - begin), encode_runs(h, begin)], names=[*keys, "first", "n", "run"])
+        for table, begin in _whole_runs(batches, keys, run_hashes):
+            h = table.column("h").combine_chunks().to_numpy()
+            n, own = np.diff(np.r_[begin, len(h)]), [table.column(k).combine_chunks().take(pa.array(begin)) for k in keys]
+            sliced = pa.array(np.full(len(begin), bits, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*own[:2], sliced, own[2], pa.array(h[begin]), pa.array(n), encode_runs(h, begin)], names=_RUN_NAMES)
 
     return ordered.mapInArrow(run, _RUN_FIELDS)
 
 
-def union_counts(runs: DataFrame, keys: list[str]) -> DataFrame:
+def resliced(runs: DataFrame, bits: int | None = None, per_slice: int = SLICE_HASHES) -> DataFrame:
+    """The same runs, all sliced by ``bits``, which default to what all their hashes together need.
+
+    Finer slices become part of a coarser one by their number alone. A run of coarser slices is decoded and cut where the
+    finer ones begin; it has at most the run length's hashes, and only such runs are touched.
+    """
+    if bits is None:
+        bits = slice_bits(runs.agg(F.sum("n")).first()[0] or 0, per_slice)
+    own = F.col("bits")
+    fine = runs.filter(own >= bits).withColumns({"slice": F.expr(f"shiftright(slice, bits - {bits})"), "bits": F.lit(bits)})
+    coarse = runs.filter(own < bits)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("first", "n"))
+            h, of = decode_runs(first, n, batch.column("run")), np.repeat(np.arange(len(n)), n)
+            number = (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            begin = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (number[1:] != number[:-1])])
+            made = {
+                "bits": pa.array(np.full(len(begin), bits, dtype=np.int32)),
+                "slice": pa.array(number[begin].astype(np.int32)),
+                "first": pa.array(h[begin]),
+                "n": pa.array(np.diff(np.r_[begin, len(h)])),
+                "run": encode_runs(h, begin),
+            }
+            place = pa.array(of[begin])
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c).take(place) for c in batch.schema.names], names=batch.schema.names)
+
+    return fine.unionByName(coarse.mapInArrow(cut, runs.schema)) if bits else fine
+
+
+def union_counts(runs: DataFrame, keys: list[str], *, bits: int | None = None) -> DataFrame:
     """``keys`` and ``n_distinct``: the different hashes in the union of each group's runs.
 
-    A slice of a group is one unit of work; its runs are decoded and united in one task, and the slices' counts are added.
-    Null keys are groups of their own.
+    The runs may come from any number of inputs, sliced alike or not (``resliced``). A slice of a group is one unit of work;
+    its runs are decoded and united in one task, and the slices' counts are added. Null keys are groups of their own.
     """
     columns = [*keys, "slice"]
     kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
@@ -120,7 +175,7 @@ def union_counts(runs: DataFrame, keys: list[str]) -> DataFrame:
             own = [table.column(k).combine_chunks().take(pa.array(begin)) for k in columns]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, type=pa.int64())], names=[*columns, "united"])
 
-    united = runs.select(*columns, "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "first").mapInArrow(run, schema)
+    united = resliced(runs, bits).select(*columns, "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "first").mapInArrow(run, schema)
     return united.groupBy(*keys).agg(F.sum("united").alias("n_distinct"))
 
 
@@ -133,7 +188,7 @@ def collision_bound(n: Column) -> Column:
     return n * (n - 1) / F.lit(2.0**65)
 
 
-def calendar_counts(runs: DataFrame, keys: list[str], window_days: int) -> DataFrame:
+def calendar_counts(runs: DataFrame, keys: list[str], window_days: int, *, bits: int | None = None) -> DataFrame:
     """Different hashes of each group of ``keys`` by day, by trailing windows of days, and altogether.
 
     Columns ``keys``, ``span`` ("day", "window" or "all"), ``day`` (the window's last; null for all), ``n_days`` (1 to
@@ -168,7 +223,7 @@ def calendar_counts(runs: DataFrame, keys: list[str], window_days: int) -> DataF
             kind = pa.array([None if d is None else int(d) for d in day], type=pa.int32()).cast(pa.date32())
             yield pa.RecordBatch.from_arrays([*own, pa.array(span), kind, pa.array(length, type=pa.int32()), pa.array(size, type=pa.int64())], names=[*columns, "span", "day", "n_days", "united"])
 
-    read = runs.select(*columns, "day", "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "day", "first")
+    read = resliced(runs, bits).select(*columns, "day", "first", "n", "run").repartition(*columns).sortWithinPartitions(*columns, "day", "first")
     return read.mapInArrow(run, schema).groupBy(*keys, "span", "day", "n_days").agg(F.sum("united").alias("n_distinct"))
 
 
@@ -188,8 +243,9 @@ def distinct_counts(df: DataFrame, instant: Column, event_type: str, identifier:
     other columns play no part, whatever their names. Days before 1970 are days like others.
     """
     runs = materialize(hash_runs(df, utc_day(instant), event_type, identifier, **how), "hash-runs")
-    typed = calendar_counts(runs.filter(F.col("event_type").isNotNull()), ["event_type"], window_days)
+    bits = slice_bits(runs.agg(F.sum("n")).first()[0] or 0, how.get("per_slice", SLICE_HASHES))
+    typed = calendar_counts(runs.filter(F.col("event_type").isNotNull()), ["event_type"], window_days, bits=bits)
     level = F.when(F.col("span") == "all", "type").otherwise(F.concat("span", F.lit("_type")))
-    whole = calendar_counts(runs, [], window_days).select(F.col("span").alias("level"), "day", "n_days", F.lit(None).cast("string").alias("event_type"), "n_distinct")
+    whole = calendar_counts(runs, [], window_days, bits=bits).select(F.col("span").alias("level"), "day", "n_days", F.lit(None).cast("string").alias("event_type"), "n_distinct")
     counts = typed.select(level.alias("level"), "day", "n_days", "event_type", "n_distinct").unionByName(whole)
     return counts.withColumn("collision_bound", collision_bound(F.col("n_distinct")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.instants import duck_instant_ms, instant_ms
+from siltstone.functions.instants import duck_instant_ms, instant_ms, utc_day
 from siltstone.llm import hash_runs, heavy_hitters, leaks, repetition, tokens
 from siltstone.sources.scratch import materialize
 from siltstone.sources.tables import table
@@ -37,6 +37,16 @@ def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     return hash_runs.distinct_counts(table(spark, d, "siem_events"), instant_ms(F.col("_received_at")), "event_type", "src_ip")
 
 
+def p5_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Different src_ip for every event_type, from runs of two parts of the rows that were made and sliced apart: those with
+    a query, a few, and the others."""
+    events, day = table(spark, d, "siem_events"), utc_day(instant_ms(F.col("_received_at")))
+    parts = [(events.filter(F.col("query").isNotNull()), hash_runs.SLICE_HASHES), (events.filter(F.col("query").isNull()), hash_runs.SLICE_HASHES >> 4)]
+    runs = [materialize(hash_runs.hash_runs(part, day, "event_type", "src_ip", per_slice=n), "hash-runs") for part, n in parts]
+    counts = hash_runs.union_counts(runs[0].unionByName(runs[1]), ["event_type"])
+    return counts.withColumn("collision_bound", hash_runs.collision_bound(F.col("n_distinct")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every text by byte_bpe_50k."""
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -75,7 +85,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_shares(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_top, p5_distinct, p6_ids, p7_found, p7_items, p7_near, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_top, p5_distinct, p5_merged, p6_ids, p7_found, p7_items, p7_near, p8_found, p8_shares)}
 
 _DAY = f"cast(make_timestamp({duck_instant_ms('_received_at')} * 1000) as date)"
 
@@ -98,4 +108,6 @@ ORACLES: dict[str, str] = {
                    select case when grouping(event_type) = 0 then 'window_type' else 'window' end, day, n_days, event_type, count(distinct src_ip)
                    from w group by grouping sets ((day, n_days, event_type), (day, n_days)) having grouping(event_type) = 1 or event_type is not null)
         select *, cast(n_distinct as double) * (cast(n_distinct as double) - 1) / pow(2, 65) as collision_bound from c where n_distinct > 0""",
+    "p5_merged": """select event_type, count(distinct src_ip) as n_distinct, cast(count(distinct src_ip) as double) * (cast(count(distinct src_ip) as double) - 1) / pow(2, 65) as collision_bound
+        from siem_events where src_ip is not null group by event_type""",
 }

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.instants import instant_ms
@@ -84,3 +85,25 @@ def test_runs_of_two_inputs_unite(spark):
     runs = [H.hash_runs(x, day, "kind", "ip", per_slice=64) for x in (one, two)]
     assert [r["n_distinct"] for r in H.union_counts(runs[0].unionByName(runs[1]), ["event_type"]).collect()] == [1500]
     assert Counter(r["event_type"] for r in H.union_counts(runs[0], ["event_type"]).collect()) == {"t": 1}
+
+
+@pytest.mark.parametrize("sizes", [(3000, 300, 1000, 1000), (3000, 300, 1000, 100_000), (3000, 3000, 10, 1000), (5000, 1, 1 << 20, 1 << 20), (3000, 0, 7, 1000)])
+def test_runs_of_inputs_of_unequal_slices_unite(spark, sizes):
+    whole, part, *per_slice = sizes
+    df = spark.range(0, whole).select(F.when(F.col("id") % 3 > 0, "t").alias("kind"), F.col("id").cast("string").alias("ip"))
+    day = F.lit("2026-01-01").cast("date")
+    made = [H.hash_runs(x, day, "kind", "ip", per_slice=n, run_hashes=500).cache() for x, n in zip((df, df.filter(F.col("ip").cast("long") < part)), per_slice, strict=True)]
+    both = made[0].unionByName(made[1])
+    want = {"t": sum(i % 3 > 0 for i in range(whole)), None: sum(i % 3 == 0 for i in range(whole))}
+    for bits in (None, 0, 1, 5, 12):
+        assert {r["event_type"]: r["n_distinct"] for r in H.union_counts(both, ["event_type"], bits=bits).collect()} == want
+        same = H.resliced(both, bits)
+        assert same.agg(F.sum("n")).first()[0] == both.agg(F.sum("n")).first()[0] and same.select("bits").distinct().count() == 1
+    whole_counts = H.calendar_counts(both, [], 2, bits=3).filter("span = 'all'").collect()
+    assert [r["n_distinct"] for r in whole_counts] == [whole]
+
+
+def test_runs_are_as_long_as_they_may_be(spark):
+    df = spark.range(0, 50_000, 1, 3).select(F.lit("t").alias("kind"), F.col("id").cast("string").alias("ip"))
+    runs = H.hash_runs(df, F.lit(None).cast("date"), "kind", "ip", run_hashes=40_000).collect()
+    assert sorted(r["n"] for r in runs) == [10_000, 40_000] and {r["bits"] for r in runs} == {0}
