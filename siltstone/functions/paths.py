@@ -251,6 +251,11 @@ class Schemaless(Field):
         return (self.kind == "ARRAY") & F.exists(self._get("array<variant>"), lambda e: F.coalesce(Schemaless(e).equals(v), F.lit(False)))
 
 
+def value_of_key(key: Column) -> Column:
+    """The VARIANT whose ``key`` this is; of an explicit null, the text ``null``."""
+    return F.parse_json(F.regexp_replace(key, r"\A~", ""))
+
+
 def _inside(segments: list[str]) -> str:
     """The path of VARIANT functions for the segments."""
     return "$" + "".join("[" + json.dumps(s, ensure_ascii=False) + "]" for s in segments)

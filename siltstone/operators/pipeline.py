@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.errors import InvalidPipeline
-from siltstone.functions.paths import Field, Frame, Typed
+from siltstone.functions.paths import Field, Frame, Schemaless, Typed, value_of_key
 from siltstone.limits import COLLECT_CAP, MAX_PIPELINE_STAGES
 from siltstone.operators.filters import compile_filter, parse
 from siltstone.operators.ordering import order_columns, parse_stage_sort
@@ -127,24 +127,21 @@ def outcome(frame: Frame, stages: list[Stage], row_order: list[str], mark_trunca
 
 @dataclass(frozen=True)
 class _Key:
-    """A part of a group key: what to group by, and how the value is found again within a group."""
+    """A part of a group key: what to group by, and how the value is found again from it."""
 
     column: Column
-    recover: Callable[[str], Column]
-    extra: Column | None = None
+    recover: Callable[[Column], Column] = lambda c: c
 
 
 def _key_part(f: Field) -> _Key:
-    """Typed values are grouped as they are; schemaless ones by their canonical text, the value being any of the group."""
-    if isinstance(f, Typed):
-        return _Key(f.column, lambda name: F.col(name))
-    return _Key(f.key, lambda name: F.col(f"{name}_value"), F.when(f.key.isNotNull(), f.value))
+    """Typed values are grouped as they are; schemaless ones by their canonical text."""
+    return _Key(f.column) if isinstance(f, Typed) else _Key(f.key, value_of_key)
 
 
-def _literal(v: object) -> Column:
-    if v is None or isinstance(v, (str, int, float, bool)):
-        return F.lit(v)
-    return F.parse_json(F.lit(json.dumps(v)))
+def _constant(v: object) -> _Key:
+    """A literal in the place of a path: one group, under this value."""
+    literal = F.lit(v) if v is None or isinstance(v, (str, int, float, bool)) else F.parse_json(F.lit(json.dumps(v)))
+    return _Key(F.lit(0), lambda _: literal)
 
 
 def group(frame: Frame, key: object, made: dict[str, Accumulator], mark_truncated: bool = False) -> DataFrame:
@@ -155,28 +152,28 @@ def group(frame: Frame, key: object, made: dict[str, Accumulator], mark_truncate
     """
     compound = isinstance(key, dict)
     if compound:
-        parts = {a: _key_part(frame.field(p)) if isinstance(p, str) else _Key(_literal(p), lambda n: F.col(n)) for a, p in sorted(key.items())}
+        parts = {a: _key_part(frame.field(p)) if isinstance(p, str) else _constant(p) for a, p in sorted(key.items())}
     else:
-        parts = {"_id": _key_part(frame.field(key)) if isinstance(key, str) else _Key(_literal(key), lambda n: F.col(n))}
-    names = {a: f"k{i}" for i, a in enumerate(parts)}
-    keys = [p.column.alias(names[a]) for a, p in parts.items()] or [F.lit(0).alias("k")]
+        parts = {"_id": _key_part(frame.field(key)) if isinstance(key, str) else _constant(key)}
+    keys = {f"k{i}": p.column for i, p in enumerate(parts.values())} or {"k0": F.lit(0)}
     plain = {n: a for n, a in made.items() if a.op != "$collect"}
-    values = [F.first(p.extra, ignorenulls=True).alias(f"{names[a]}_value") for a, p in parts.items() if p.extra is not None]
     columns = [_accumulate(frame, a).alias(f"a{i}") for i, a in enumerate(plain.values())]
-    grouped = frame.df.groupBy(*keys).agg(*(values + columns or [F.count(F.lit(1)).alias("rows")]))
+    grouped = frame.df.groupBy(*(c.alias(n) for n, c in keys.items())).agg(*(columns or [F.count(F.lit(1)).alias("rows")]))
     out = {n: F.col(f"a{i}") for i, n in enumerate(plain)}
-    flags = {}
-    for i, (name, a) in enumerate((n, a) for n, a in made.items() if a.op == "$collect"):
-        grouped = _with_collected(frame, grouped, [k.alias(f"j{j}") for j, k in enumerate(p.column for p in parts.values())], list(names.values()), a, f"c{i}")
-        cut = F.coalesce(F.size(f"c{i}") > COLLECT_CAP, F.lit(False))
-        kept = F.slice(F.coalesce(F.col(f"c{i}"), F.array()), 1, COLLECT_CAP)
+    flags, collects = {}, {n: a for n, a in made.items() if a.op == "$collect"}
+    if collects:
+        lists = _collected(frame, keys, [frame.field(a.path) for a in collects.values()])
+        grouped = grouped.join(lists, [F.col(n).eqNullSafe(F.col(f"j{n}")) for n in keys], "left")
+    for i, name in enumerate(collects):
+        cut = F.coalesce(F.col(f"n{i}") > COLLECT_CAP, F.lit(False))
+        kept = F.coalesce(F.col(f"c{i}"), F.array())
         refused = F.raise_error(F.lit(f"$collect of {name!r} has more than {COLLECT_CAP} values in a group; mark_truncated keeps the smallest and marks the cut"))
         out[name] = kept if mark_truncated else F.when(cut, refused).otherwise(kept)
         flags[f"_truncated_{name}"] = cut
     if compound:
-        ids = F.struct(*(p.recover(names[a]).alias(a) for a, p in parts.items())) if parts else F.struct()
+        ids = F.struct(*(p.recover(F.col(n)).alias(a) for n, (a, p) in zip(keys, parts.items(), strict=False)))
     else:
-        ids = parts["_id"].recover("k0")
+        ids = parts["_id"].recover(F.col("k0"))
     wanted = {n: out[n] for n in made} | (flags if mark_truncated else {})
     return grouped.select(ids.alias("_id"), *(c.alias(n) for n, c in wanted.items()))
 
@@ -200,23 +197,33 @@ def _finite(c: Column) -> Column:
     return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
-def _with_collected(frame: Frame, grouped: DataFrame, keys: list[Column], names: list[str], a: Accumulator, out: str) -> DataFrame:
-    """Adds the sorted different values of a path, at most one more than the cap.
+def _collected(frame: Frame, keys: dict[str, Column], fields: list[Field]) -> DataFrame:
+    """For each group and field, ``c<i>``: its different values, sorted, at most COLLECT_CAP; and ``n<i>``: how many there are.
 
-    The values are made different by a spillable aggregation and cut to the cap by a window that already limits each map
-    task's share, so no task holds all values of a group.
+    All fields are read in one scan. Values are made different by a hash aggregation that combines in the map tasks, can
+    spill and spreads the values of a group over all tasks. Each of these keeps only its share's smallest of a group (the
+    window's group limit), so the task of a group gets at most COLLECT_CAP values from each, however many the group has.
     """
-    f = frame.field(a.path)
-    if isinstance(f, Typed):
-        identity, value, order = f.key, f.key, [F.col("v")]
+    typed = [isinstance(f, Typed) for f in fields]
+    values = [f.column if t else F.coalesce(f.key, F.when(f.present, F.lit("null"))) for f, t in zip(fields, typed, strict=True)]
+    own, which = [f"j{n}" for n in keys], [f"v{i}" for i in range(len(fields))]
+    df = frame.df.select(*(c.alias(f"j{n}") for n, c in keys.items()), *(v.alias(n) for v, n in zip(values, which, strict=True)))
+    if len(fields) == 1:
+        rows, sets = df.filter(F.col("v0").isNotNull()).select(*own, F.lit(0).alias("of"), "v0"), own
     else:
-        identity, value = F.coalesce(f.key, F.when(f.present, F.lit("null"))), f.value
-        order = [F.col("o"), F.col("v")]
-    ranked = F.struct(*(k.alias(f"r{i}") for i, k in enumerate(f.sort_keys)))
-    own = [f"j{i}" for i in range(len(names))] or ["j"]
-    different = frame.df.filter(f.present).groupBy(*(keys or [F.lit(0).alias("j")]), identity.alias("v")).agg(F.first(value).alias("x"), F.first(ranked).alias("o"))
-    nth = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
-    few = different.withColumn("i", nth).filter(F.col("i") <= COLLECT_CAP + 1)
-    lists = few.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x")), lambda a, b: a["i"] - b["i"]), lambda p: p["x"]).alias(out))
-    same = [F.col(n).eqNullSafe(F.col(o)) for n, o in zip(names or ["k"], own, strict=True)]
-    return grouped.join(lists, same, "left").drop(*own)
+        none = {n: F.lit(None).cast(df.schema[n].dataType) for n in which}
+        each = [F.when(F.col(n).isNotNull(), F.struct(F.lit(i).alias("of"), *((F.col(n) if m == n else none[m]).alias(m) for m in which))) for i, n in enumerate(which)]
+        rows, sets = df.select(*own, F.inline(F.array_compact(F.array(*each)))), [*own, "of"]
+    different = rows.distinct()
+    order = [k for n, t, f in zip(which, typed, fields, strict=True) for k in (Typed(F.col(n), f.kind).sort_keys if t else Schemaless(value_of_key(F.col(n))).sort_keys)]
+    nth = F.row_number().over(Window.partitionBy(*sets).orderBy(*order, *(F.col(n) for n, t in zip(which, typed, strict=True) if not t)))
+    few = different.withColumn("nth", nth).filter(F.col("nth") <= COLLECT_CAP)
+    lists = few.groupBy(*own).agg(*(F.array_sort(F.collect_list(F.when(F.col("of") == i, F.struct("nth", n)))).alias(f"c{i}") for i, n in enumerate(which)))
+    back = [_members(f"c{i}", n, t).alias(f"c{i}") for i, (n, t) in enumerate(zip(which, typed, strict=True))]
+    counts = different.groupBy(*(F.col(n).alias(f"{n}_") for n in own)).agg(*(F.count_if(F.col("of") == i).alias(f"n{i}") for i in range(len(fields))))
+    return lists.select(*own, *back).join(counts, [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in own]).drop(*(f"{n}_" for n in own))
+
+
+def _members(array: str, name: str, typed: bool) -> Column:
+    """A member of each struct of an array; as the value whose key it is, if it isn't ``typed``."""
+    return F.transform(array, lambda x: x[name] if typed else value_of_key(x[name]))

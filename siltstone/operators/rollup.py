@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.paths import Frame, Typed
+from siltstone.functions.paths import Frame, Typed, value_of_key
 from siltstone.limits import PROFILE_ROWS, ROLLUP_CARDINALITY
 from siltstone.operators.filters import compile_filter, paths_of
 from siltstone.operators.pipeline import Accumulator, Stage, group
@@ -39,9 +39,8 @@ def build(frame: Frame, paths: list[str]) -> Rollup:
     """One aggregation over the columns of ``paths``. Missing, null and values of different types stay apart."""
     fields = [frame.field(p) for p in paths]
     keys = [(f.key if isinstance(f, Typed) else F.coalesce(f.key, F.when(f.present, F.lit("null")))).alias(f"k{i}") for i, f in enumerate(fields)]
-    values = [F.first(f.value).alias(f"v{i}") for i, f in enumerate(fields)]
-    counted = frame.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *values)
-    own = [F.col(f"k{i}" if isinstance(f, Typed) else f"v{i}").alias(f"p{i}") for i, f in enumerate(fields)]
+    counted = frame.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    own = [(F.col(f"k{i}") if isinstance(f, Typed) else value_of_key(F.col(f"k{i}"))).alias(f"p{i}") for i, f in enumerate(fields)]
     return Rollup(counted.select(*own, "n_rows"), list(paths))
 
 

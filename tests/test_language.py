@@ -210,6 +210,41 @@ def test_collect_above_the_cap_is_marked_or_fails(spark):
     assert [len(r["c"]) for r in P.run(Frame(df.filter("g = 1")), stages).collect()] == [1000]
 
 
+def test_several_collects_are_cut_apart(spark):
+    documents = [{"_id": f"{i}", "g": i % 2, "many": i // 2, "few": ["x", None, 1, 1.0, [1]][i % 5], "odd": 7} | ({"own": "z"} if i % 2 else {}) for i in range(2400)]
+    f = variants(spark, documents)
+    stages = [{"$group": {"_id": "g", "many": {"$collect": "many"}, "few": {"$collect": "few"}, "own": {"$collect": "own"}, "never": {"$collect": "q"}, "n": {"$count": {}}}}]
+    rows = {r["_id"]: r for r in shown(P.run(f, stages, mark_truncated=True))}
+    for g, r in rows.items():
+        assert r["many"] == list(range(1000)) and r["_truncated_many"] and r["n"] == 1200
+        assert r["few"][1:] == [1, 1, "x", [1]] and r["few"][0] is None and not r["_truncated_few"]
+        assert r["own"] == (["z"] if g else []) and r["never"] == [] and not r["_truncated_own"]
+    df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("b"))
+    got = P.run(Frame(df), [{"$group": {"_id": "g", "a": {"$collect": "a"}, "b": {"$collect": "b"}}}], mark_truncated=True)
+    for r in got.collect():
+        assert r["a"] == sorted(str(i) for i in range(r["_id"], 4000, 3))[:1000] and r["_truncated_a"]
+        assert r["b"] == [1, 2, 3, 4, 5, 6] and not r["_truncated_b"]
+
+
+def test_values_of_a_group_are_limited_in_every_task(spark, frame):
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("v"))
+    for plan in (P.run(Frame(df), [{"$group": {"_id": "g", "c": {"$collect": "v"}}}]), P.run(variants(spark, [{"_id": f"{i}"} for i in range(1001)]), [{"$group": {"_id": "a", "c": {"$collect": "b"}}}])):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "1000, Partial" in text and "SortAggregate" not in text
+    for plan in (D.distinct(Frame(df), "v"), D.distinct(frame, "a"), P.run(frame, [{"$group": {"_id": "a", "n": {"$count": {}}}}]), R.build(frame, ["a"]).df):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_literals_as_group_keys(spark):
+    f = Frame(spark.range(3).toDF("v"))
+    for key in (5, 1.5, True, [1, {"a": None}], {}):
+        got = shown(P.run(f, [{"$group": {"_id": key, "n": {"$count": {}}}}]))
+        assert got == [{"_id": key, "n": 3}]
+    assert shown(P.run(f, [{"$group": {"_id": {"a": 5, "b": "v"}, "n": {"$count": {}}}}]))[0] == {"_id": {"a": 5, "b": 0}, "n": 1}
+
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_the_collected_ports_say_where_they_are_cut(spark):
     rows = catalogue.QUERIES["group_collect_marked"](spark, "/root/testdata/sf0.01").collect()
