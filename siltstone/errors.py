@@ -32,3 +32,5 @@ DocumentTooLarge = _kind("DocumentTooLarge", "DOCUMENT_TOO_LARGE", 413, "Documen
 QueryTimeout = _kind("QueryTimeout", "QUERY_TIMEOUT", 408, "Query exceeded timeout of ")
 StoragePoisoned = _kind("StoragePoisoned", "STORAGE_POISONED", 503, "Storage engine poisoned: ")
 Unauthorized = _kind("Unauthorized", "UNAUTHORIZED", 401, "")
+NoSuchRoute = _kind("NoSuchRoute", "NOT_FOUND", 404, "No such resource: ")
+WrongMethod = _kind("WrongMethod", "METHOD_NOT_ALLOWED", 405, "Method not allowed: ")

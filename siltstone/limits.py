@@ -15,3 +15,6 @@ MAX_DOCUMENT_BYTES = 16 << 20
 QUERY_TIMEOUT_S = 30
 ROLLUP_CARDINALITY = 1_000
 PROFILE_ROWS = 10_000
+
+#: Rows that an answer of the service may have where the request sets no bound: more is an error, and DataFrames have none.
+MAX_ANSWER_ROWS = 100_000

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.errors import InvalidQuery
@@ -65,13 +65,16 @@ def count(frame: Frame, query: Query) -> DataFrame:
     return matching(frame, query).df.agg(F.count(F.lit(1)).alias("count"))
 
 
-def page(frame: Frame, query: Query, row_order: list[str]) -> DataFrame:
+def page(frame: Frame, query: Query, row_order: list[str], seen: Observation | None = None) -> DataFrame:
     """The page of the query: a bounded top-k where an order is given, no full sort.
 
     ``row_order`` are the columns of the implicit row order: it breaks ties, and orders rows where no sort is asked for. An
-    empty one leaves such rows in no order.
+    empty one leaves such rows in no order. ``seen`` learns the ``total`` of all matches when the page is run; for that an
+    order is needed, since a page without one doesn't look at all of them.
     """
     found = matching(frame, query)
+    if seen is not None:
+        found = Frame(found.df.observe(seen, F.count(F.lit(1)).alias("total")), frame.root, frame.bound)
     order = order_columns(found, query.sort, row_order)
     df = found.df.orderBy(*order) if order else found.df
     df = df.offset(query.offset) if query.offset else df

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,13 +35,16 @@ class Rollup:
         return Frame(self.df, None, {p: f"p{i}" for i, p in enumerate(self.paths)})
 
 
-def build(frame: Frame, paths: list[str]) -> Rollup:
-    """One aggregation over the columns of ``paths``. Missing, null and values of different types stay apart."""
+def build(frame: Frame, paths: list[str], by: list[Column] = (), more: list[Column] = ()) -> Rollup:
+    """One aggregation over the columns of ``paths``. Missing, null and values of different types stay apart.
+
+    ``by`` are further columns to count apart by, and ``more`` further aggregates; both are kept beside ``n_rows``.
+    """
     fields = [frame.field(p) for p in paths]
     keys = [(f.key if isinstance(f, Typed) else F.coalesce(f.key, F.when(f.present, F.lit("null")))).alias(f"k{i}") for i, f in enumerate(fields)]
-    counted = frame.df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    counted = frame.df.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n_rows"), *more)
     own = [(F.col(f"k{i}") if isinstance(f, Typed) else value_of_key(F.col(f"k{i}"))).alias(f"p{i}") for i, f in enumerate(fields)]
-    return Rollup(counted.select(*own, "n_rows"), list(paths))
+    return Rollup(counted.select(*own, *counted.columns[len(keys) :]), list(paths))
 
 
 def covers_count(rollup: Rollup, query: Query) -> bool:

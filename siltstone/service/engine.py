@@ -11,19 +11,19 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import siltstone
 from siltstone import errors as E
 from siltstone.functions.paths import Frame
-from siltstone.limits import DISTINCT_LIMIT, QUERY_TIMEOUT_S
+from siltstone.limits import DISTINCT_LIMIT, MAX_ANSWER_ROWS, QUERY_TIMEOUT_S
 from siltstone.operators import distinct as D
 from siltstone.operators import pipeline as P
 from siltstone.operators import query as Q
 from siltstone.operators import rollup as R
 from siltstone.operators.filters import All, Test, parse
-from siltstone.sources.catalog import Catalog, Collection
+from siltstone.sources.catalog import Accelerator, Catalog, Collection
 
 # When slow writes are reported, and when no more.
 SLOW_WRITE_MS, FAST_WRITE_MS, FAST_WRITES = 5_000, 500, 3
@@ -69,8 +69,8 @@ def with_json(df: DataFrame) -> DataFrame:
 class Engine:
     """The service over a catalog."""
 
-    def __init__(self, spark: SparkSession, root: str, timeout_s: float = QUERY_TIMEOUT_S):
-        self.spark, self.catalog, self.timeout_s = spark, Catalog(spark, root), timeout_s
+    def __init__(self, spark: SparkSession, root: str, timeout_s: float = QUERY_TIMEOUT_S, accelerator: Accelerator | None = None):
+        self.spark, self.catalog, self.timeout_s = spark, Catalog(spark, root, accelerator), timeout_s
         self.lifetime, self.pressure, self.last_cleanup = Counter(), Pressure(), None
         self._began = time.monotonic()
 
@@ -86,37 +86,51 @@ class Engine:
 
     def health(self) -> Answer:
         """Whether the service works, and whether writes are slow."""
-        alive = not self.spark.sparkContext._jsc.sc().isStopped()
-        return Answer({"status": "healthy" if alive else "degraded", "write_pressure": self.pressure.state, "scan_accelerator_ready": True})
+        alive, broken = not self.spark.sparkContext._jsc.sc().isStopped(), self.catalog.broken
+        said = {"status": "healthy" if alive and not broken else "degraded", "write_pressure": self.pressure.state, "scan_accelerator_ready": self.catalog.accelerator.enabled}
+        return Answer(said | ({"warning": f"a commit failed, writes are refused until a restart: {broken}"} if broken else {}))
 
     def _all(self) -> list[Collection]:
         return [self.catalog.collection(n) for n in self.catalog.names()]
 
     def stats(self) -> Answer:
         """Totals over all collections and since the start."""
-        manifests = [c.manifest() for c in self._all()]
+        own = [(c, c.manifest()) for c in self._all()]
+        rolled = {m.name: c.rollup_columns(m) for c, m in own}
         return Answer(
             {
-                "collection_count": len(manifests),
-                "total_documents": sum(m.rows for m in manifests),
+                "collection_count": len(own),
+                "total_documents": sum(m.rows for _, m in own),
                 "uptime_seconds": self.uptime,
-                "storage_poisoned": False,
+                "storage_poisoned": bool(self.catalog.broken),
+                "memory_config": self._memory(),
                 "lifetime": {n: self.lifetime[n] for n in ("requests", "inserts", "queries", "deletes")},
-                "ttl": {"active_policies": sum(m.ttl is not None for m in manifests), "last_cleanup_run": self.last_cleanup},
-                "scan_accelerator": {"ready": True, "bitmap_columns": [{"collection": m.name, "field": p} for m in manifests for p in m.rollup]},
+                "ttl": {"active_policies": sum(m.ttl is not None for _, m in own), "last_cleanup_run": self.last_cleanup},
+                "scan_accelerator": {
+                    "ready": self.catalog.accelerator.enabled,
+                    "total_positions": sum(m.rows for _, m in own if rolled[m.name]),
+                    "bitmap_columns": [{"collection": n, **c} for n, columns in rolled.items() for c in columns],
+                },
             }
         )
 
+    def _memory(self) -> dict:
+        """Spark's memory for storage, the row groups that writers hold, and the tasks that can write or compact at once."""
+        sc = self.spark.sparkContext
+        cache = sum(m._1() for m in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().getExecutorMemoryStatus()).values())
+        group, tasks = sc._jsc.hadoopConfiguration().getInt("parquet.block.size", 128 << 20) >> 20, sc.defaultParallelism
+        return {"cache_size_mb": cache >> 20, "max_write_buffer_mb": group * tasks, "max_memtable_mb": group, "flush_workers": tasks, "compaction_workers": tasks}
+
     def metrics_text(self) -> str:
         """Nine metrics in the text exposition format."""
-        s = self.stats().data
+        manifests = [c.manifest() for c in self._all()]
         rows = [
-            ("uptime_seconds", "Seconds since the start", "gauge", s["uptime_seconds"]),
-            ("documents_total", "Documents in all collections", "gauge", s["total_documents"]),
-            ("collections_total", "Collections", "gauge", s["collection_count"]),
-            *((f"{n}_total", f"{n.capitalize()} since the start", "counter", v) for n, v in s["lifetime"].items()),
-            ("storage_poisoned", "Whether the storage refuses writes", "gauge", int(s["storage_poisoned"])),
-            ("ttl_active_policies", "Active retention policies", "gauge", s["ttl"]["active_policies"]),
+            ("uptime_seconds", "Seconds since the start", "gauge", self.uptime),
+            ("documents_total", "Documents in all collections", "gauge", sum(m.rows for m in manifests)),
+            ("collections_total", "Collections", "gauge", len(manifests)),
+            *((f"{n}_total", f"{n.capitalize()} since the start", "counter", self.lifetime[n]) for n in ("requests", "inserts", "queries", "deletes")),
+            ("storage_poisoned", "Whether the storage refuses writes", "gauge", int(bool(self.catalog.broken))),
+            ("ttl_active_policies", "Active retention policies", "gauge", sum(m.ttl is not None for m in manifests)),
         ]
         return "".join(f"# HELP siltstone_{n} {h}\n# TYPE siltstone_{n} {k}\nsiltstone_{n} {v}\n" for n, h, k, v in rows)
 
@@ -178,9 +192,18 @@ class Engine:
         self.lifetime["deletes"] += sum(gone.values())
         return gone
 
-    def set_rollup(self, name: str, paths: list[str]) -> Answer:
-        """Keeps the joint counts of paths."""
-        self.catalog.collection(name).set_rollup(paths)
+    def get_rollup(self, name: str) -> Answer:
+        """The paths whose joint counts are kept, with their sizes where the rollup is in use."""
+        c = self.catalog.collection(name)
+        m = c.manifest()
+        return Answer({"rollup": m.rollup, "in_use": c.rollup(m) is not None, "bitmap_columns": c.rollup_columns(m)})
+
+    def set_rollup(self, name: str, paths: list[str] | None = None) -> Answer:
+        """Keeps the joint counts of paths; without any, of the categorical ones that are found."""
+        c = self.catalog.collection(name)
+        if paths is None:
+            return Answer({"rollup": c.detect_rollup(self.catalog.accelerator.sample_rows, self.catalog.accelerator.max_cardinality)})
+        c.set_rollup(paths)
         return Answer({"rollup": paths})
 
     # Documents
@@ -275,17 +298,22 @@ class Engine:
             if kept and R.covers_count(kept, asked):
                 used, strategy = None, "bitmap"
                 return None, R.count(kept, asked).first()[0], 0
-            frame = c.narrowed(asked.filter, m)
-            total = Q.count(frame, asked).first()[0]
-            if asked.count_only:
-                return None, total, m.rows
-            page = Q.page(frame, Q.Query(asked.filter, asked.sort, asked.limit, asked.offset, None, False), ["_id"])
+            files = c.covered_files(asked.filter, m)
+            if files is not None:
+                strategy = strategy or "bitmap"
+            if not (m.files if files is None else files):
+                return None if asked.count_only else [], 0, 0
+            frame, scanned = c.narrowed(asked.filter, m, files), m.rows if files is None else sum(m.files[f] for f in files)
+            if asked.count_only or not asked.limit:
+                return None if asked.count_only else [], Q.count(frame, asked).first()[0], scanned
+            seen = Observation()
+            page = Q.page(frame, Q.Query(asked.filter, asked.sort, asked.limit, asked.offset, None, False), ["_id"], seen)
             if asked.fields is None:
-                return Collection.documents(page), total, m.rows
+                return Collection.documents(page), seen.get["total"], scanned
             wanted = dict.fromkeys(["_id", *asked.fields])
             found = Frame(page, "doc")
             rows = page.select(*(F.to_json(F.struct(found.field(f).value.alias("v"))).alias(f"c{i}") for i, f in enumerate(wanted))).collect()
-            return [{f: v for f, j in zip(wanted, r, strict=True) for v in json.loads(j).values()} for r in rows], total, m.rows
+            return [{f: v for f, j in zip(wanted, r, strict=True) for v in json.loads(j).values()} for r in rows], seen.get["total"], scanned
 
         (docs, total, scanned), ms = self._timed(work)
         meta = {"duration_ms": ms, "total_count": total, "docs_scanned": scanned, "index_used": used, "scan_strategy": strategy}
@@ -301,20 +329,27 @@ class Engine:
 
         def work() -> tuple[list, int, str | None, int]:
             kept = c.rollup(m)
-            covered = R.covers_group(kept, stages) if kept else 0
+            covered, scanned = R.covers_group(kept, stages) if kept else 0, 0
             if covered:
                 rows = R.group_counts(kept, stages[:covered])
                 grouped = P.outcome(Frame(rows), stages[covered:], [], True) if stages[covered:] else P.Outcome(rows)
                 done = P.Outcome(grouped.df, grouped.groups or rows, grouped.collected)
             else:
-                frame = c.narrowed(stages[0].spec, m) if stages[0].name == "$match" else c.frame(m)
+                lead = stages[0].spec if stages[0].name == "$match" else All(())
+                files = c.covered_files(lead, m)
+                scanned = m.rows if files is None else sum(m.files[f] for f in files)
+                frame = c.narrowed(lead, m, files)
                 frame = Frame(frame.df.select(*(F.col(f"`{n}`") for n in frame.df.columns if not n.startswith(".ix"))), "doc")
                 done = P.outcome(frame, stages, ["_id"], True)
             raw = done.groups is None
-            docs = Collection.documents(done.df) if raw else [_shown(json.loads(r["j"]), done) for r in with_json(done.df).collect()]
-            groups = 0 if raw else done.groups.count()
+            most = done.df.limit(MAX_ANSWER_ROWS + 1)
+            docs = Collection.documents(most) if raw else [_shown(json.loads(r["j"]), done) for r in with_json(most).collect()]
+            if len(docs) > MAX_ANSWER_ROWS:
+                raise E.InvalidPipeline(f"The result has more than {MAX_ANSWER_ROWS} rows; a $limit is needed")
+            last = max((i for i, s in enumerate(stages) if s.name == "$group"), default=0)
+            groups = 0 if raw else len(docs) if all(s.name == "$sort" for s in stages[last + 1 :]) else done.groups.count()
             how = {0: None, 1: "bitmap_aggregate", 2: "bitmap_filtered_aggregate"}[covered]
-            return docs, groups, how, 0 if covered else m.rows
+            return docs, groups, how, scanned
 
         (docs, groups, how, scanned), ms = self._timed(work)
         return Answer(docs, {"duration_ms": ms, "docs_scanned": scanned, "groups": groups, "scan_strategy": how})
@@ -323,9 +358,12 @@ class Engine:
         """Different values of a path."""
         if not isinstance(path, str) or not isinstance(limit, int) or limit < 0:
             raise E.InvalidQuery("field must be a path and limit a non-negative integer")
+        if limit > MAX_ANSWER_ROWS:
+            raise E.InvalidQuery(f"limit must be at most {MAX_ANSWER_ROWS}")
         c = self.catalog.collection(name)
         m = c.manifest()
-        frame = c.narrowed(parse(filter_spec), m) if filter_spec is not None else c.frame(m)
+        node = parse(filter_spec) if filter_spec is not None else All(())
+        frame = c.narrowed(node, m, c.covered_files(node, m))
         self.lifetime["queries"] += 1
         rows, ms = self._timed(lambda: with_json(D.distinct(frame, path, filter_spec, limit).select(F.struct("value").alias("v"))).collect())
         values = [json.loads(r["j"])["v"].get("value") for r in rows]
@@ -365,5 +403,3 @@ def access_path(query: Q.Query, indexes: list[dict]) -> tuple[str | None, str |
         if i["fields"][0] in equal | ranged | {t.path for t in tests if t.op == "$in"}:
             return i["name"], None
     return None, None
-
-

@@ -75,7 +75,21 @@ def route(engine: Engine, method: str, path: str, body: Callable[[], object]) ->
             return 200, engine.delete_ttl(c)
         case "GET", [c, "storage"]:
             return 200, engine.storage_info(c)
-    return 404, Answer(None)
+        case "GET", [c, "rollup"]:
+            return 200, engine.get_rollup(c)
+        case "PUT", [c, "rollup"]:
+            return 200, engine.set_rollup(c, field("fields", None))
+        case "DELETE", [c, "rollup"]:
+            return 200, engine.set_rollup(c, [])
+    raise (E.WrongMethod(f"{method} {path}") if _known(parts) else E.NoSuchRoute(path))
+
+
+def _known(parts: list[str]) -> bool:
+    """Whether some method has a resource of this form."""
+    match parts:
+        case [] | [_] | [_, "docs" | "query" | "aggregate" | "distinct" | "indexes" | "ttl" | "storage" | "rollup"] | [_, "docs" | "indexes", _]:
+            return True
+    return False
 
 
 def _object(value: object) -> dict:

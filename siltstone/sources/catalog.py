@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 
 from siltstone import errors as E
 from siltstone.functions.paths import EPSILON, Frame, Schemaless, is_number
-from siltstone.limits import MAX_BULK_DOCUMENTS, MAX_DOCUMENT_BYTES, PROFILE_ROWS
+from siltstone.limits import MAX_BULK_DOCUMENTS, MAX_DOCUMENT_BYTES, PROFILE_ROWS, ROLLUP_CARDINALITY
 from siltstone.operators import rollup as R
-from siltstone.operators.filters import All, Test, parse
+from siltstone.operators.filters import All, Test, parse, paths_of
 from siltstone.operators.mutations import cutoff, hit, parse_set
 from siltstone.sources.files import Files
 
@@ -33,6 +33,8 @@ DOCUMENT = T.StructType([T.StructField(n, T.LongType() if n == "_rev" else T.Str
 #: Files of a collection above which an insert puts the small ones together.
 MANY_FILES = 64
 SMALL_FILE_ROWS = 100_000
+#: Files that a rollup's tables may hold beside those of the version, before they are written anew.
+MANY_DEAD = 1_000
 
 
 def now_text() -> str:
@@ -84,14 +86,42 @@ class Manifest:
     indexes: list[dict] = field(default_factory=list)
     layout: list[str] = field(default_factory=list)
     ttl: dict | None = None
-    rollup: list[str] = field(default_factory=list)
     streams: dict[str, int] = field(default_factory=dict)
+    #: The smallest and largest ``_id`` of each file.
+    spans: dict[str, list[str]] = field(default_factory=dict)
+    #: Paths whose joint counts are kept for each file, the tables that hold them and their rows, and files that are in these
+    #: tables but not in the version any more.
+    rollup: list[str] = field(default_factory=list)
+    rollup_parts: dict[str, int] = field(default_factory=dict)
+    rollup_dead: list[str] = field(default_factory=list)
+    #: Whether categorical paths have been looked for.
+    profiled: bool = False
 
     @property
     def rows(self) -> int:
         return sum(self.files.values())
 
 
+@dataclass
+class Accelerator:
+    """How rollups are kept: of ``fields``, or, without, of the categorical paths found once a collection has ``sample_rows``
+    rows; of paths with less than ``max_cardinality`` values."""
+
+    enabled: bool = True
+    fields: list[str] = field(default_factory=list)
+    max_cardinality: int = ROLLUP_CARDINALITY
+    sample_rows: int = PROFILE_ROWS
+
+
+@dataclass
+class Written:
+    """New files: their rows, the bounds of their ids, and the table of their joint counts with its rows."""
+
+    files: dict[str, int] = field(default_factory=dict)
+    spans: dict[str, list[str]] = field(default_factory=dict)
+    parts: dict[str, int] = field(default_factory=dict)
+
+
 def _folder(name: str) -> str:
     """A folder's name for any collection name."""
     return "".join(c if c.isascii() and (c.isalnum() or c == "-") else f"_{ord(c):x}_" for c in name)
@@ -139,11 +169,12 @@ def _size(document: dict) -> int:
 class Collection:
     """One collection at its newest version; every method is one transaction."""
 
-    def __init__(self, spark: SparkSession, files: Files, root: str, name: str):
+    def __init__(self, spark: SparkSession, files: Files, root: str, name: str, accelerator: Accelerator | None = None):
         self.spark, self.name = spark, name
         self._files, self._root = files, f"{root}/{_folder(name)}"
         self._lock = threading.RLock()
-        self._rollups: dict[int, R.Rollup | None] = {}
+        self.accelerator = accelerator or Accelerator()
+        self._columns: tuple[int, list[dict]] = (-1, [])
 
     # Versions
 
@@ -157,6 +188,8 @@ class Collection:
     def commit(self, manifest: Manifest) -> Manifest:
         """Makes ``manifest`` the version after the one it was made from; raises DocumentConflict if another is."""
         made = replace(manifest, version=manifest.version + 1)
+        if self._files.broken:
+            raise E.StoragePoisoned(self._files.broken)
         if not self._files.create(f"{self._root}/commits/{made.version:020d}.json", json.dumps(asdict(made))):
             raise E.DocumentConflict(f"{self.name} was changed at the same time")
         return made
@@ -165,7 +198,6 @@ class Collection:
         """Removes all files of the collection, its indexes, retention and rollups with them."""
         self.manifest()
         self._files.remove(self._root)
-        self._rollups.clear()
 
     # Rows
 
@@ -184,27 +216,59 @@ class Collection:
         m = manifest or self.manifest()
         return Frame(self._read(list(m.files), m.layout), "doc")
 
-    def _write(self, df: DataFrame, layout: list[str], sort: bool = False) -> dict[str, int]:
-        """Writes rows (system columns and ``doc``) to new files with the layout's side columns; file names and rows.
+    def _write(self, df: DataFrame, m: Manifest, few: bool = False) -> Written:
+        """Writes rows (system columns and ``doc``) to new files with the side columns of the version's layout.
 
-        With ``sort``, rows are range-partitioned and sorted by the layout's paths, so that a file's and row group's bounds
-        on these paths are narrow.
+        Where there is a layout, rows are range-partitioned (but not a ``few``) and sorted by its paths, so that a file's and
+        row group's bounds on these paths are narrow. One pass over the new files counts their rows and, where a rollup is kept, the
+        combinations of its paths' values in each.
         """
+        if self._files.broken:
+            raise E.StoragePoisoned(self._files.broken)
         batch, frame = uuid.uuid4().hex, Frame(df, "doc")
-        fields = [f if isinstance(f, Schemaless) else None for f in map(frame.field, layout)]
+        fields = [f if isinstance(f, Schemaless) else None for f in map(frame.field, m.layout)]
         side = [
             c.alias(f".ix{i}.{n}")
-            for i, (p, f) in enumerate(zip(layout, fields, strict=True))
+            for i, (p, f) in enumerate(zip(m.layout, fields, strict=True))
             for n, c in (("s", f.string if f else frame.field(p).value.cast("string")), ("n", f.number if f else frame.field(p).number))
         ]
         out = df.select(*DOCUMENT.names, *side)
-        if sort and layout:
-            keys = [F.col(f"`.ix{i}.{n}`") for i in range(len(layout)) for n in "sn"]
-            out = out.repartitionByRange(*keys, F.col("_id")).sortWithinPartitions(*keys, "_id")
+        if m.layout:
+            keys = [F.col(f"`.ix{i}.{n}`") for i in range(len(m.layout)) for n in "sn"]
+            out = (out if few else out.repartitionByRange(*keys, F.col("_id"))).sortWithinPartitions(*keys, "_id")
         out.write.parquet(f"{self._root}/data/{batch}")
         written = [f"{batch}/{n}" for n in self._files.names(f"{self._root}/data/{batch}") if n.endswith(".parquet")]
-        counts = {r["f"]: r["n"] for r in self._read(written, []).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()} if written else {}
-        return {f: counts[f.rsplit("/", 1)[1]] for f in written if counts.get(f.rsplit("/", 1)[1])}
+        return self._counted(written, m) if written else Written()
+
+    def _counted(self, files: list[str], m: Manifest) -> Written:
+        """What a manifest says of files; with the table of their joint counts, if the version keeps a rollup."""
+        rows, path, made = self._read(files, []), F.col("_metadata.file_path"), Written()
+        name = F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
+        ends = [F.min("_id").alias("a"), F.max("_id").alias("b")]
+        if m.rollup:
+            part = f"{self._root}/rollups/{uuid.uuid4().hex}"
+            built = R.build(Frame(rows.withColumn(".f", name), "doc"), m.rollup, [F.col("`.f`").alias("f")], ends).df
+            built.write.parquet(part)
+            counts = self.spark.read.schema(built.schema).parquet(part)
+            each = counts.groupBy("f").agg(F.sum("n_rows").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("kinds")).collect()
+            made.parts = {part.rsplit("/", 1)[1]: sum(r["kinds"] for r in each)} if each else {}
+        else:
+            each = rows.groupBy(name.alias("f")).agg(F.count(F.lit(1)).alias("n"), *ends).collect()
+        made.files = {r["f"]: r["n"] for r in each}
+        made.spans = {r["f"]: [r["a"], r["b"]] for r in each}
+        return made
+
+    @staticmethod
+    def _changed(m: Manifest, made: Written, gone: list[str] = ()) -> Manifest:
+        """The version with new files and without others."""
+        left = set(gone)
+        return replace(
+            m,
+            files={f: n for f, n in m.files.items() if f not in left} | made.files,
+            spans={f: s for f, s in m.spans.items() if f not in left} | made.spans,
+            rollup_parts=m.rollup_parts | made.parts,
+            rollup_dead=sorted({*m.rollup_dead, *left}) if m.rollup else [],
+        )
 
     def narrowing(self, node, layout: list[str]) -> list[Column]:
         """Conditions on side columns that every match of the filter meets: they reach the scan, where files, row groups and
@@ -227,9 +291,19 @@ class Collection:
                 out.append(getattr(number, name)(F.lit(float(v))))
         return out
 
-    def narrowed(self, node, manifest: Manifest) -> Frame:
-        """The rows of a version, with the conditions of ``narrowing``."""
-        frame = self.frame(manifest)
+    def covered_files(self, node, m: Manifest) -> list[str] | None:
+        """The files that hold rows for which the parts of the filter on the rollup's paths are true; None if there is no
+        rollup, no such part, or one file only. The rest of the filter is left to the rows."""
+        kept = self.rollup(m) if len(m.files) > 1 else None
+        tests = [t for t in (node.parts if isinstance(node, All) else [node]) if kept and paths_of(t) and paths_of(t) <= set(kept.paths)]
+        if not tests:
+            return None
+        found = {r["f"] for r in kept.df.filter(hit(kept.frame, All(tuple(tests)))).select("f").distinct().collect()}
+        return [f for f in m.files if f in found]
+
+    def narrowed(self, node, manifest: Manifest, files: list[str] | None = None) -> Frame:
+        """The rows of a version, or of some of its files, with the conditions of ``narrowing``."""
+        frame = self.frame(manifest) if files is None else Frame(self._read(files, manifest.layout), "doc")
         for c in self.narrowing(node, manifest.layout):
             frame = Frame(frame.df.filter(c), "doc")
         return frame
@@ -254,7 +328,7 @@ class Collection:
         stamped = self._stamp(document)
         if _size(stamped) > MAX_DOCUMENT_BYTES:
             raise E.DocumentTooLarge
-        self._append(self._rows([stamped]))
+        self._append(self._rows([stamped]), few=True)
         return stamped
 
     def bulk_insert(self, documents: list) -> tuple[int, list[str]]:
@@ -271,7 +345,7 @@ class Collection:
             else:
                 good.append(stamped)
         if good:
-            self._append(self._rows(good))
+            self._append(self._rows(good), few=True)
         return len(good), bad
 
     @staticmethod
@@ -296,26 +370,47 @@ class Collection:
         self._append(added, {} if stream is None else {stream: batch})
         return seen.get["good"], seen.get["bad"]
 
-    def _append(self, rows: DataFrame, streams: dict[str, int] | None = None) -> None:
+    def _append(self, rows: DataFrame, streams: dict[str, int] | None = None, few: bool = False) -> None:
         with self._lock:
-            m = self.manifest()
-            m = self.commit(replace(m, files=m.files | self._write(rows, m.layout), streams=m.streams | (streams or {})))
+            m = self._accelerated(self.manifest())
+            m = self.commit(replace(self._changed(m, self._write(rows, m, few)), streams=m.streams | (streams or {})))
             if sum(n < SMALL_FILE_ROWS for n in m.files.values()) > MANY_FILES:
                 self.compact(m)
+            elif len(m.rollup_parts) > MANY_FILES or len(m.rollup_dead) > MANY_DEAD:
+                self.commit(self._merged(m))
+            if self.accelerator.enabled and not (m.profiled or m.rollup) and m.rows >= self.accelerator.sample_rows:
+                self.detect_rollup(self.accelerator.sample_rows, self.accelerator.max_cardinality)
+
+    def _accelerated(self, m: Manifest) -> Manifest:
+        """The version with a rollup of the given fields, if there are such and it has none yet."""
+        given = self.accelerator.fields if self.accelerator.enabled and not m.profiled else []
+        return self._with_rollup(m, given) if given and not m.rollup else m
 
     def compact(self, manifest: Manifest | None = None) -> None:
-        """Puts small files together."""
+        """Puts small files together; where there is a layout, sorted by it."""
         with self._lock:
             m = manifest or self.manifest()
             small = [f for f, n in m.files.items() if n < SMALL_FILE_ROWS]
+            if len(small) < 2:
+                return
             rows = sum(m.files[f] for f in small)
             df = self._read(small, m.layout).select(*DOCUMENT.names)
-            made = self._write(df.coalesce(max(1, rows // SMALL_FILE_ROWS)), m.layout)
-            self.commit(replace(m, files={f: n for f, n in m.files.items() if f not in small} | made))
+            m = self._changed(m, self._write(df if m.layout else df.coalesce(max(1, rows // SMALL_FILE_ROWS)), m), small)
+            self.commit(self._merged(m))
+
+    def _merged(self, m: Manifest) -> Manifest:
+        """The version with the tables of its rollup in one, without the files that are gone; rows aren't read."""
+        if len(m.rollup_parts) <= 1 and not m.rollup_dead:
+            return m
+        part, kept = uuid.uuid4().hex, self._rollup_table(m)
+        kept.coalesce(1 + sum(m.rollup_parts.values()) // 1_000_000).write.parquet(f"{self._root}/rollups/{part}")
+        return replace(m, rollup_parts={part: self.spark.read.parquet(f"{self._root}/rollups/{part}").count()}, rollup_dead=[])
 
     def get(self, doc_id: str) -> dict:
-        """The document with an id; raises DocumentNotFound. A file's bounds on ``_id`` keep most from being read."""
-        found = self.documents(self.frame().df.filter(F.col("_id") == doc_id).limit(1))
+        """The document with an id; raises DocumentNotFound. Files whose ids don't reach to it aren't opened."""
+        m = self.manifest()
+        files = [f for f in m.files if f not in m.spans or m.spans[f][0] <= doc_id <= m.spans[f][1]]
+        found = self.documents(self._read(files, m.layout).filter(F.col("_id") == doc_id).limit(1)) if files else []
         if not found:
             raise E.DocumentNotFound(doc_id)
         return found[0]
@@ -381,7 +476,7 @@ class Collection:
             m = self.manifest()
             if not m.files:
                 return 0
-            frame = self.narrowed(node, m)
+            frame = self.narrowed(node, m, self.covered_files(node, m))
             name = F.col("_metadata.file_name").alias("f")
             hits = {r["f"]: r["n"] for r in frame.df.filter(hit(frame, node)).groupBy(name).agg(F.count(F.lit(1)).alias("n")).collect()}
             if not hits:
@@ -389,7 +484,7 @@ class Collection:
             old = [f for f in m.files if f.rsplit("/", 1)[1] in hits]
             own = Frame(self._read(old, m.layout).select(*DOCUMENT.names), "doc")
             rows = change(own.df.filter(~hit(own, node)), own.df.filter(hit(own, node)))
-            self.commit(replace(m, files={f: n for f, n in m.files.items() if f not in old} | self._write(rows, m.layout)))
+            self.commit(self._changed(m, self._write(rows, m), old))
             return sum(hits.values())
 
     # Indexes, retention and rollups
@@ -425,8 +520,9 @@ class Collection:
     def _lay_out(self, m: Manifest) -> None:
         layout = list(dict.fromkeys(f for i in m.indexes for f in i["fields"] if f not in SYSTEM))
         if layout != m.layout and m.files:
-            df = self._read(list(m.files), m.layout).select(*DOCUMENT.names)
-            m = replace(m, files=self._write(df, layout, sort=True))
+            df, old = self._read(list(m.files), m.layout).select(*DOCUMENT.names), list(m.files)
+            m = replace(m, layout=layout, rollup_parts={}, rollup_dead=[])
+            m = replace(self._changed(m, self._write(df, m), old), rollup_dead=[])
         self.commit(replace(m, layout=layout))
 
     def set_ttl(self, days: int, path: str = "_created_at") -> dict:
@@ -452,31 +548,44 @@ class Collection:
         return self._rewrite(Test(ttl["field"], "$lt", before), lambda rest, _: rest)
 
     def set_rollup(self, paths: list[str]) -> None:
-        """The paths whose joint counts are kept for each version; none to keep no rollup."""
+        """The paths whose joint counts are kept with every version; none to keep no rollup."""
         with self._lock:
-            self.commit(replace(self.manifest(), rollup=list(paths)))
+            self.commit(replace(self._with_rollup(self.manifest(), paths), profiled=True))
 
-    def detect_rollup(self, rows: int = PROFILE_ROWS) -> list[str]:
+    def _with_rollup(self, m: Manifest, paths: list[str]) -> Manifest:
+        m = replace(m, rollup=list(paths), rollup_parts={}, rollup_dead=[])
+        return replace(m, rollup_parts=self._counted(list(m.files), m).parts) if m.files and paths else m
+
+    def detect_rollup(self, rows: int = PROFILE_ROWS, most: int = ROLLUP_CARDINALITY) -> list[str]:
         """Keeps a rollup of the categorical paths found in the first ``rows`` rows; the paths."""
         frame = self.frame()
         paths = R.scalar_paths(frame, rows)
-        chosen = R.choose(R.profile(frame, paths, rows)) if paths else []
+        chosen = R.choose(R.profile(frame, paths, rows, most)) if paths else []
         self.set_rollup(chosen)
         return chosen
 
+    def _rollup_table(self, m: Manifest) -> DataFrame:
+        table = self.spark.read.parquet(*(f"{self._root}/rollups/{p}" for p in m.rollup_parts))
+        return table.filter(~F.col("f").isin(m.rollup_dead)) if m.rollup_dead else table
+
     def rollup(self, manifest: Manifest) -> R.Rollup | None:
-        """The rollup of a version, stored with it and built when first asked for; None if none is kept, or if it is no
-        smaller than a tenth of the rows."""
-        if not manifest.rollup:
+        """The rollup of a version: the joint counts of each of its files, written with the commit that added the file. None
+        if none is kept, or if it isn't smaller than a tenth of the rows."""
+        m = manifest
+        if not (m.rollup and m.rollup_parts and self.accelerator.enabled) or sum(m.rollup_parts.values()) > max(1000, m.rows // 10):
             return None
-        if manifest.version not in self._rollups:
-            path = f"{self._root}/rollups/{manifest.version}"
-            built = R.build(self.frame(manifest), manifest.rollup)
-            if not self._files.names(path):
-                built.df.write.parquet(path)
-            kept = R.Rollup(self.spark.read.schema(built.df.schema).parquet(path), manifest.rollup)
-            self._rollups = {manifest.version: kept if kept.df.count() <= max(1000, manifest.rows // 10) else None}
-        return self._rollups[manifest.version]
+        return R.Rollup(self._rollup_table(m), m.rollup)
+
+    def rollup_columns(self, m: Manifest) -> list[dict]:
+        """The rollup's paths with the number of their values and the bytes of all its tables."""
+        kept = self.rollup(m)
+        if kept is None:
+            return []
+        if self._columns[0] != m.version:
+            counts = kept.df.agg(*(F.count_distinct(F.to_json(F.struct(f"p{i}"))).alias(f"c{i}") for i in range(len(m.rollup)))).first()
+            size = sum(self._files.size(f"{self._root}/rollups/{p}") for p in m.rollup_parts)
+            self._columns = m.version, [{"field": p, "cardinality": n, "memory_bytes": size // len(m.rollup)} for p, n in zip(m.rollup, counts, strict=True)]
+        return self._columns[1]
 
     def info(self) -> dict:
         """Name, number of documents and indexes."""
@@ -484,28 +593,32 @@ class Collection:
         return {"name": self.name, "created_at": m.created_at, "doc_count": m.rows, "indexes": [i["name"] for i in m.indexes]}
 
     def storage_info(self) -> dict:
-        """The same with bytes, the instants of the oldest and newest id, retention and rollup."""
+        """The same with bytes, the instants of the oldest and newest id, retention and rollup; no rows are read."""
         m = self.manifest()
-        ends = self.frame(m).df.agg(F.min("_id").alias("a"), F.max("_id").alias("b")).first()
 
         def instant(doc_id):
             ms = id_millis(doc_id) if doc_id else None
             return None if ms is None else datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).isoformat()
 
+        oldest, newest, _ = self.id_range()
         out = {"name": self.name, "doc_count": m.rows, "index_count": len(m.indexes), "indexes": [i["name"] for i in m.indexes]}
-        out |= {"oldest_doc": instant(ends["a"]), "newest_doc": instant(ends["b"]), "bytes": self._files.size(f"{self._root}/data")}
+        out |= {"oldest_doc": instant(oldest), "newest_doc": instant(newest), "bytes": self._files.size(f"{self._root}/data")}
         out |= {"ttl": m.ttl} if m.ttl else {}
-        if m.rollup and (kept := self.rollup(m)):
-            columns = kept.df.agg(*(F.count_distinct(F.to_json(F.struct(f"p{i}"))).alias(p) for i, p in enumerate(m.rollup))).first().asDict()
-            out["scan_accelerator"] = {"total_positions": m.rows, "bitmap_columns": [{"field": p, "cardinality": columns[p]} for p in m.rollup]}
+        if columns := self.rollup_columns(m):
+            out["scan_accelerator"] = {"total_positions": m.rows, "bitmap_columns": columns}
         return out
 
+    def id_range(self) -> tuple[str | None, str | None, int]:
+        """The smallest and largest ``_id`` and the number of documents, from the manifest alone."""
+        m = self.manifest()
+        return min((s[0] for s in m.spans.values()), default=None), max((s[1] for s in m.spans.values()), default=None), m.rows
+
     def vacuum(self) -> int:
         """Deletes data folders and rollups that the newest version doesn't use, and older commits; the number removed."""
         with self._lock:
             m, gone = self.manifest(), 0
             used = {f.split("/", 1)[0] for f in m.files}
-            for sub, keep in (("data", used), ("rollups", {str(m.version)}), ("commits", {f"{m.version:020d}.json"})):
+            for sub, keep in (("data", used), ("rollups", set(m.rollup_parts)), ("commits", {f"{m.version:020d}.json"})):
                 for n in self._files.names(f"{self._root}/{sub}"):
                     if n not in keep:
                         gone += self._files.remove(f"{self._root}/{sub}/{n}")
@@ -515,21 +628,22 @@ class Collection:
 class Catalog:
     """The collections under a folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, accelerator: Accelerator | None = None):
         self.spark, self.root = spark, root.rstrip("/")
+        self.accelerator = accelerator or Accelerator()
         self._files, self._open, self._lock = Files(spark, root), {}, threading.Lock()
 
     def collection(self, name: str) -> Collection:
         """A collection by name; raises CollectionNotFound."""
         with self._lock:
-            c = self._open.setdefault(name, Collection(self.spark, self._files, self.root, name))
+            c = self._open.setdefault(name, Collection(self.spark, self._files, self.root, name, self.accelerator))
         c.manifest()
         return c
 
     def create(self, name: str) -> dict:
         """Makes an empty collection."""
         check_collection_name(name)
-        c = Collection(self.spark, self._files, self.root, name)
+        c = Collection(self.spark, self._files, self.root, name, self.accelerator)
         try:
             c.manifest()
         except E.CollectionNotFound:
@@ -537,6 +651,11 @@ class Catalog:
             return c.info()
         raise E.CollectionExists(name)
 
+    @property
+    def broken(self) -> str:
+        """Why the storage takes no more writes; empty while it does."""
+        return self._files.broken
+
     def names(self) -> list[str]:
         """The names of all collections, sorted."""
         found = []

@@ -16,6 +16,8 @@ class Files:
         self._fs = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._io = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
         self._bytes = spark.sparkContext._jvm.java.io.ByteArrayOutputStream
+        #: Why a commit could not be written; from then on whether it stands is unknown, so there are no more writes.
+        self.broken = ""
 
     def names(self, folder: str) -> list[str]:
         """Names in a folder, sorted; none if it doesn't exist."""
@@ -39,13 +41,17 @@ class Files:
         The text is written beside first and then gets its name, which fails where there is such a file: of two writers one
         wins.
         """
-        beside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
-        out = self._fs.create(beside, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        made = self._link(beside, path) if self._fs.getUri().getScheme() == "file" else self._rename(beside, path)
-        if self._fs.exists(beside):
-            self._fs.delete(beside, False)
+        try:
+            beside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
+            out = self._fs.create(beside, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+            made = self._link(beside, path) if self._fs.getUri().getScheme() == "file" else self._rename(beside, path)
+            if self._fs.exists(beside):
+                self._fs.delete(beside, False)
+        except Exception as e:
+            self.broken = str(e)[:300]
+            raise
         return made
 
     def _link(self, beside, path: str) -> bool:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 import json
+import logging
+import shutil
 import threading
 import time
 import urllib.error
@@ -17,7 +20,8 @@ from siltstone.operators.filters import parse
 from siltstone.service.engine import Engine, Pressure, access_path
 from siltstone.service.http import serve
 from siltstone.operators.query import parse_query
-from siltstone.sources.catalog import Collection, generated_ids, id_millis, merge_patch, set_path
+from siltstone.service import __main__ as main
+from siltstone.sources.catalog import Accelerator, Collection, Manifest, generated_ids, id_millis, merge_patch, set_path
 from siltstone.streaming.ingest import ingest_lines
 
 
@@ -143,6 +147,114 @@ def test_rollup_paths_are_found(engine):
     assert engine.query("found", {"filter": {"deep.x": 1}, "count_only": True}).data == {"count": 400}
 
 
+def test_rollups_follow_every_commit(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}", timeout_s=120, accelerator=Accelerator(fields=["kind", "deep.x"]))
+    plain = Engine(spark, f"file://{tmp_path}", timeout_s=120, accelerator=Accelerator(enabled=False))
+    engine.create_collection("r")
+    group = [{"$group": {"_id": "kind", "n": {"$count": {}}}}]
+    filters = [{"kind": "a"}, {"kind": {"$ne": "a"}}, {"$not": {"deep.x": 1}}, {"kind": "a", "n": {"$gte": 30}}, {"$and": [{"deep.x": {"$exists": True}}, {"n": {"$lt": 12}}]}, {"n": 3}, {}]
+
+    def same():
+        for f in filters:
+            a, b = (e.query("r", {"filter": f, "limit": 1000}) for e in (engine, plain))
+            assert a.data == b.data and a.meta["total_count"] == b.meta["total_count"] == len(a.data)
+            assert engine.query("r", {"filter": f, "count_only": True}).data == plain.query("r", {"filter": f, "count_only": True}).data
+        a, b = (e.aggregate("r", group) for e in (engine, plain))
+        assert sorted(a.data, key=repr) == sorted(b.data, key=repr) and a.meta["groups"] == len(b.data)
+        assert a.meta["scan_strategy"] == "bitmap_aggregate" and "docs_scanned" in a.meta and b.meta["docs_scanned"] > 0
+
+    for lo, kind in ((0, "a"), (20, "b"), (40, None)):
+        engine.bulk_insert("r", [{"kind": kind, "n": lo + i, "deep": {"x": i % 2} if lo else 5} for i in range(20)])
+        same()
+    c, said = engine.catalog.collection("r"), engine.query("r", {"filter": {"kind": "b", "n": {"$gte": 25}}, "limit": 3, "sort": [{"n": "asc"}]})
+    assert (said.meta["scan_strategy"], said.meta["docs_scanned"], said.meta["total_count"]) == ("bitmap", 20, 15) and [d["n"] for d in said.data] == [25, 26, 27]
+    assert engine.query("r", {"filter": {"kind": "never", "n": 1}}).meta["docs_scanned"] == 0
+    assert engine.aggregate("r", [{"$match": {"kind": "b", "n": {"$gte": 25}}}, {"$group": {"_id": None, "s": {"$sum": "n"}}}]).meta["docs_scanned"] == 20
+    assert engine.delete_by_query("r", {"kind": "b", "n": {"$lt": 25}}).data == {"deleted": 5}
+    same()
+    assert engine.update_by_query("r", {"deep": 5}, {"$set": {"kind": "z"}}).data == {"updated": 20}
+    same()
+    parts = c.manifest().rollup_parts
+    engine.replace("r", engine.query("r", {"limit": 1}).data[0]["_id"], {"kind": "q"})
+    assert parts.keys() < c.manifest().rollup_parts.keys()
+    same()
+    c.compact()
+    m = c.manifest()
+    assert len(m.rollup_parts) == 1 and not m.rollup_dead and set(m.spans) == set(m.files)
+    same()
+    c.vacuum()
+    same()
+    engine.create_index("r", "n", field="n")
+    same()
+    stats = engine.stats().data
+    assert stats["scan_accelerator"]["total_positions"] == 55 and {(x["field"], x["cardinality"]) for x in stats["scan_accelerator"]["bitmap_columns"]} == {("kind", 4), ("deep.x", 3)}
+    assert all(x["memory_bytes"] > 0 for x in engine.storage_info("r").data["scan_accelerator"]["bitmap_columns"]) and stats["memory_config"]["cache_size_mb"] > 0
+    assert engine.get_rollup("r").data["in_use"] and not plain.get_rollup("r").data["in_use"] and not plain.health().data["scan_accelerator_ready"]
+    assert engine.delete_by_query("r", {}).data == {"deleted": 55}
+    assert engine.query("r", {"filter": {"kind": "z"}}).data == [] and engine.aggregate("r", group).data == []
+    assert engine.storage_info("r").data["oldest_doc"] is None
+
+
+def test_categorical_paths_are_found_with_enough_rows(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}", timeout_s=120, accelerator=Accelerator(sample_rows=100, max_cardinality=5))
+    fill(engine, "auto", [{"kind": "ab"[i % 2], "user": f"u{i}"} for i in range(80)])
+    c = engine.catalog.collection("auto")
+    assert not c.manifest().rollup and not c.manifest().profiled
+    engine.bulk_insert("auto", [{"kind": "c", "user": f"v{i}"} for i in range(80)])
+    assert c.manifest().rollup == ["kind"] and engine.query("auto", {"filter": {"kind": "c"}, "count_only": True}).meta["scan_strategy"] == "bitmap"
+    engine.set_rollup("auto", [])
+    engine.bulk_insert("auto", [{"kind": "c"}])
+    assert c.manifest().rollup == [] and engine.query("auto", {"filter": {"kind": "c"}, "count_only": True}).data == {"count": 81}
+
+
+def test_a_failed_commit_ends_writing(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}", timeout_s=120)
+    fill(engine, "p", [{"a": 1}])
+    c = engine.catalog.collection("p")
+    whole, c._files._fs = c._files._fs, None
+    c._files.names, c._files.read = (lambda f: ["1.json"]), (lambda f: json.dumps(dataclasses.asdict(m)))
+    m = Manifest("p", "now", version=1)
+    with pytest.raises(AttributeError):
+        c.commit(m)
+    c._files._fs = whole
+    del c._files.names, c._files.read
+    for write in (lambda: engine.insert("p", {"a": 2}), lambda: engine.set_ttl("p", 3)):
+        with pytest.raises(E.StoragePoisoned):
+            write()
+    assert engine.query("p", {}).data[0]["a"] == 1
+    health = engine.health().data
+    assert health["status"] == "degraded" and "warning" in health and engine.stats().data["storage_poisoned"] and "storage_poisoned 1" in engine.metrics_text()
+
+
+def test_answers_have_a_bound(engine, monkeypatch):
+    import siltstone.service.engine as S
+
+    fill(engine, "bound", [{"n": i} for i in range(30)])
+    monkeypatch.setattr(S, "MAX_ANSWER_ROWS", 20)
+    with pytest.raises(E.InvalidPipeline):
+        engine.aggregate("bound", [{"$match": {"n": {"$gte": 0}}}])
+    with pytest.raises(E.InvalidPipeline):
+        engine.aggregate("bound", [{"$group": {"_id": "n", "c": {"$count": {}}}}])
+    with pytest.raises(E.InvalidQuery):
+        engine.distinct("bound", "n", None, 21)
+    said = engine.aggregate("bound", [{"$group": {"_id": "n", "c": {"$count": {}}}}, {"$sort": {"_id": 1}}, {"$limit": 3}])
+    assert [d["_id"] for d in said.data] == [0, 1, 2] and said.meta["groups"] == 30
+    assert engine.query("bound", {"limit": 0}).meta["total_count"] == 30
+
+
+def test_options(tmp_path):
+    (tmp_path / "keys").write_text("# mine\n\n one \ntwo\n")
+    o = main.options(["--data-dir", "x", "--api-key", "zero", "--api-key-file", str(tmp_path / "keys"), "--tls", "--bitmap-fields", "a,b", "--no-bitmap", "--log-file", str(tmp_path / "log"), "-l", "warn"])
+    assert main.api_keys(o) == ["zero", "one", "two"] and o.no_bitmap and o.bitmap_max_cardinality == 1000
+    assert main.tls_context(main.options(["-d", "x"])) is None
+    if shutil.which("openssl"):
+        assert main.tls_context(o) is not None
+    main.logging_to(o)
+    logging.getLogger("siltstone.http").warning("kept")
+    logging.getLogger("siltstone.http").info("left out")
+    assert (tmp_path / "log").read_text().count("\n") == 1
+
+
 def test_layout_conditions_reach_the_scan(engine):
     fill(engine, "laid", [{"t": "abc"[i % 3], "n": i} for i in range(30)])
     engine.create_index("laid", "t", ["t", "n"])
@@ -294,6 +406,10 @@ def test_http(engine):
         assert call("GET", "/web/storage")[1]["data"]["doc_count"] == 1
         assert call("DELETE", url)[0] == 200 and call("GET", url)[0] == 404
         assert any(c["name"] == "web" for c in call("GET", "/_collections")[1]["data"])
+        assert call("PUT", "/web/rollup", {"fields": ["n"]})[1]["data"] == {"rollup": ["n"]} and call("GET", "/web/rollup")[1]["data"]["rollup"] == ["n"]
+        assert call("DELETE", "/web/rollup")[1]["data"] == {"rollup": []}
+        assert [call(*r)[0] for r in (("PUT", "/web/query", {}), ("PATCH", "/", {}), ("GET", "/web/docs"))] == [405] * 3
+        assert [call(*r)[0] for r in (("GET", "/web/nothing"), ("GET", "/a/b/c/d"))] == [404] * 2 and call("GET", "/web/no")[1]["error"]["code"] == "NOT_FOUND"
         assert call("DELETE", "/web")[0] == 200 and call("GET", "/web")[0] == 404
     finally:
         server.shutdown()
