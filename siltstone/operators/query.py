@@ -65,6 +65,11 @@ def count(frame: Frame, query: Query) -> DataFrame:
     return matching(frame, query).df.agg(F.count(F.lit(1)).alias("count"))
 
 
+def id_range(frame: Frame) -> DataFrame:
+    """The smallest and largest ``_id`` and the number of rows; collections keep these in their manifests."""
+    return frame.df.agg(F.min("_id").alias("oldest"), F.max("_id").alias("newest"), F.count(F.lit(1)).alias("n"))
+
+
 def page(frame: Frame, query: Query, row_order: list[str], seen: Observation | None = None) -> DataFrame:
     """The page of the query: a bounded top-k where an order is given, no full sort.
 

@@ -95,6 +95,11 @@ _add(
     """select event_id, cast(json_extract(props, '$.k') as bigint) as "props.k" from events where cast(json_extract(props, '$.k') as bigint) >= 90""",
 )
 _counts("filter_json_missing", "events", {"props.missing": {"$exists": False}}, "json_extract(props, '$.missing') is null")
+_add(
+    "filter_contains_labels",
+    lambda s, d: Q.run(Frame(table(s, d, "siem_events").select(F.split("query", r"\.").alias("labels"))), {"filter": {"labels": {"$contains": "example"}}, "count_only": True}),
+    """select count(*) as "count" from siem_events where list_contains(string_split(query, '.'), 'example')""",
+)
 _counts("filter_contains_array", "embeddings", {"embedding": {"$contains": 0.0}}, "list_contains(embedding, 0.0)")
 _counts("count_only", "events", {"event_type": {"$in": ["click", "purchase"]}, "value": {"$gt": 20}}, "event_type in ('click', 'purchase') and value > 20")
 
@@ -180,6 +185,7 @@ _pipes(
     "select cast(null as varchar) as _id, count(*) as n, round(sum(value), 2) as total from events having count(*) > 0",
     total=2,
 )
+_pipes("group_literal", "events", [{"$group": {"_id": 5, "n": {"$count": {}}, "most": {"$max": "value"}}}], "select 5 as _id, count(*) as n, max(value) as most from events having count(*) > 0")
 _pipes(
     "group_multi_key",
     "lineitem",
@@ -320,6 +326,6 @@ _add(
 )
 _add(
     "doc_time_range",
-    lambda s, d: table(s, d, "siem_events").agg(F.min("_id").alias("oldest"), F.max("_id").alias("newest"), F.count(F.lit(1)).alias("n")),
+    lambda s, d: Q.id_range(_frame(s, d, "siem_events")),
     "select min(_id) as oldest, max(_id) as newest, count(*) as n from siem_events",
 )
