@@ -1,4 +1,4 @@
-"""Sessions: events of an entity cut at long silences, for any length of silence between a tree's floor and ceiling, from one tree."""
+"""Sessions: events of an entity cut at long silences, for any length of silence, from one tree."""
 
 from __future__ import annotations
 
@@ -21,8 +21,9 @@ SLAB = 500_000
 FAN_BITS = 6
 #: A chunk's number is its partition's, with so many bits below for the slabs of the partition.
 SLAB_BITS = 24
-FLOOR_MS = 60_000
-CEILING_MS = 86_400_000
+#: By default a tree holds every setting.
+FLOOR_MS = 0
+CEILING_MS = CUT - 1
 
 _NODE, _ATOM = 0, 1
 
@@ -113,8 +114,8 @@ def session_tree(df: DataFrame, entity: str, instant: Column, *, floor_ms: int =
     Columns ``entity`` (under its own name), ``gap_ms``, ``parent_gap_ms``, ``start_ms``, ``end_ms``, ``n_events``: the
     nodes of the Cartesian tree over the gaps between an entity's consecutive instants. A row is a session for every
     setting ``t`` with ``gap_ms <= t < parent_gap_ms``; so ``cut`` is a filter that reaches the scan of the stored tree.
-    The metadata of ``gap_ms`` has ``floor_ms`` and ``ceiling_ms``, which a stored tree keeps too. A tree for settings
-    outside the defaults is grown with other ones: ``floor_ms=0, ceiling_ms=CUT - 1`` holds every setting.
+    By default that is every setting; a tree for fewer of them is smaller. The metadata of ``gap_ms`` has ``floor_ms`` and
+    ``ceiling_ms``, which a stored tree keeps too.
 
     The events are range-partitioned by entity, instant and position in the input, so that an entity with a third of all
     rows spreads over a third of the partitions, however many of its instants are equal. Each slab of a partition grows its

@@ -13,7 +13,7 @@ from siltstone.sources.tables import spread, table
 
 SESSION_GAP_MS = 1_800_000
 FOUND_ONE_IN = 25
-SETTINGS_MS = (60_000, 300_000, 1_800_000, 7_200_000, 43_200_000)
+SETTINGS_MS = (0, 1_000, 60_000, 300_000, 1_800_000, 7_200_000, 43_200_000, 259_200_000)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -193,16 +193,17 @@ def test_sessions_edges(spark):
 def test_settings_out_of_the_reach_of_a_tree(spark, tmp_path):
     ms = [0, 40_000, 90_000, 172_800_000 + 90_000, 400_000_000]
     df = spark.createDataFrame([("a", t) for t in ms], "ip string, ms long")
-    tree = W.session_tree(df, "ip", F.col("ms"))
+    low, high = 60_000, 86_400_000
+    tree = W.session_tree(df, "ip", F.col("ms"), floor_ms=low, ceiling_ms=high)
     tree.write.parquet(str(tmp_path / "tree"))
     for own in (tree, spark.read.parquet(str(tmp_path / "tree"))):
-        for gap in (-1, 30_000, W.FLOOR_MS - 1, W.CEILING_MS + 1, 172_800_000):
+        for gap in (-1, 30_000, low - 1, high + 1, 172_800_000):
             with pytest.raises(ValueError, match="60000 to 86400000"):
                 W.cut(own, gap)
-        assert [W.cut(own, gap).count() for gap in (W.FLOOR_MS, W.CEILING_MS)] == [3, 3]
+        assert [W.cut(own, gap).count() for gap in (low, high)] == [3, 3]
     with pytest.raises(ValueError, match="doesn't say"):
-        W.cut(tree.withColumn("gap_ms", F.col("gap_ms") + 0), W.FLOOR_MS)
-    whole = W.session_tree(df, "ip", F.col("ms"), floor_ms=0, ceiling_ms=W.CUT - 1).cache()
+        W.cut(tree.withColumn("gap_ms", F.col("gap_ms") + 0), low)
+    whole = W.session_tree(df, "ip", F.col("ms")).cache()
     for gap in (0, 30_000, 40_000, 60_000, 86_400_000, 172_800_000, 300_000_000, W.CUT - 1):
         got = sorted((r["start_ms"], r["end_ms"], r["n_events"]) for r in W.cut(whole, gap).collect())
         assert got == sorted(plain_sessions(ms, gap))
