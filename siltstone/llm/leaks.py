@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm.hash_runs import groups
 from siltstone.llm.runs import decode_runs, encode_runs
 from siltstone.llm.words import words
 from siltstone.sources.scratch import materialize
@@ -29,6 +29,8 @@ BLOCK_WORDS = 1_000_000
 PIECE_WORDS = 10_000
 #: Places looked at together; bounds the memory of a step, not what is found.
 STEP = 2_000_000
+#: Characters of a shard's documents: one ends with the document that reaches them.
+SHARD_CHARS = 4_000_000
 
 
 def item_pieces(items: DataFrame, key: str, text: str, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -104,14 +106,26 @@ class Shard:
         return cls(np.array(begins, dtype=np.int64), whole, known[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(terms)).astype(np.int64))
 
     @classmethod
-    def of_postings(cls, bounds: np.ndarray, ids: np.ndarray, first: np.ndarray, n: np.ndarray, runs: pa.BinaryArray, n_terms: int) -> Shard:
-        """From stored postings of some terms; ``bounds`` are the documents' first places and the end of the last."""
-        order = np.argsort(ids, kind="stable")
-        ids, n = ids[order], n[order]
-        places, counts, at = decode_runs(first[order], n, runs.take(pa.array(order))), np.zeros(n_terms, dtype=np.int64), np.full(int(bounds[-1]), -1, dtype=np.int32)
+    def of_postings(cls, bounds: np.ndarray, ids: np.ndarray, first: np.ndarray, n: np.ndarray, runs: pa.BinaryArray, phrases: Phrases, missing: int) -> Shard:
+        """From stored postings, with the numbers of their terms (-1: in no test item). Only lists of terms are decoded that
+        some window has whose words are all in the shard but ``missing``; the others are left as they are.
+
+        ``bounds`` are the documents' first places and the end of the last.
+        """
+        counts = np.zeros(len(phrases.terms) + 1, dtype=np.int64)
         counts[ids] = n
+        counts[-1] = 0
+        alive = phrases.rows[((phrases.rows >= 0) & (counts[phrases.rows] == 0)).sum(axis=1) <= missing]
+        wanted = np.zeros(len(counts), dtype=bool)
+        wanted[alive] = True
+        wanted[-1] = False
+        take = np.flatnonzero(wanted[ids])
+        take = take[np.argsort(ids[take], kind="stable")]
+        ids, n, own, at = ids[take], n[take], np.zeros(len(phrases.terms), dtype=np.int64), np.full(int(bounds[-1]), -1, dtype=np.int32)
+        places = decode_runs(first[take], n, runs.take(pa.array(take)))
+        own[ids] = n
         at[places] = np.repeat(ids, n)
-        return cls(bounds[:-1], at, places, counts)
+        return cls(bounds[:-1], at, places, own)
 
     @staticmethod
     def _in_runs(known: np.ndarray, shortest: int) -> np.ndarray:
@@ -211,39 +225,60 @@ class Shard:
         return document[keep], windows[row[keep]]
 
 
-def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+def portions(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a batch (its second column) in stretches of about so many characters, each with its first row."""
+    lo, size, texts = 0, 0, batch.column(1).to_pylist()
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= chars or i + 1 == len(texts):
+            yield lo, texts[lo : i + 1]
+            lo, size = i + 1, 0
+
+
+def _blob(values: np.ndarray) -> bytes:
+    return values.astype("<i4").tobytes()
+
+
+def _unblob(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, dtype="<i4").astype(np.int64)
+
+
+def build_index(docs: DataFrame, key: str, text: str, *, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The positional inverted index of all words of all documents, to be stored and searched any number of times.
 
-    One row for each shard and term: ``n`` places, the ``first`` and the delta-coded ``run`` of the others. The row of a
-    shard without term has the ``keys`` of its documents, and as places where each begins and where the last ends. A shard
-    is a batch of documents; nothing is shuffled.
+    A row is a shard, some documents of about ``shard_chars`` characters: their ``keys``; ``bounds``, the places where each
+    begins and where the last ends; its ``terms``, sorted, with blanks between; and for each of these ``n`` places, the
+    ``first``, the ``size`` of the code of the others, and in ``runs`` the codes, delta-coded, one after the other. Numbers
+    are 32-bit in binary columns, so that neither writer nor reader handles postings one by one. Nothing is shuffled.
     """
     kind = docs.select(key).schema[0].dataType
-    plain = [T.StructField(f, k) for f, k in (("shard", T.StringType()), ("term", T.StringType()), ("n", T.LongType()), ("first", T.LongType()), ("run", T.BinaryType()))]
-    schema = T.StructType([*plain, T.StructField("keys", T.ArrayType(kind))])
+    blobs = [T.StructField(f, T.StringType() if f == "terms" else T.BinaryType()) for f in ("bounds", "terms", "n", "first", "size", "runs")]
+    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("keys", T.ArrayType(kind)), *blobs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            numbers, flat, bounds = _Numbers(), array("i"), [0]
-            for value in batch.column(1).to_pylist():
-                flat.extend(map(numbers.__getitem__, words(value)))
-                flat.append(-1)
-                bounds.append(len(flat))
-            of = np.frombuffer(flat, dtype=np.int32)
-            places = np.argsort(of, kind="stable")[batch.num_rows :]
-            begin = np.flatnonzero(np.diff(of[places], prepend=-1))
-            n = np.diff(np.r_[begin, len(places)])
-            own, ends = np.array(bounds, dtype=np.int64), pa.array([None], type=pa.string())
-            terms = pa.concat_arrays([ends, pa.array(numbers, type=pa.string())])
-            runs = pa.concat_arrays([encode_runs(own, np.array([0])), encode_runs(places.astype(np.int64), begin)])
-            keys = pa.ListArray.from_arrays(pa.array([0] + [batch.num_rows] * len(terms), type=pa.int32()), batch.column(0))
-            keys = pa.concat_arrays([keys.slice(0, 1), pa.nulls(len(terms) - 1, keys.type)])
-            shard = pa.array([f"{TaskContext.get().partitionId()}:{number}"] * len(terms))
-            columns = [shard, terms, pa.array(np.r_[len(own), n]), pa.array(np.r_[0, places[begin]].astype(np.int64)), runs, keys]
-            whole = pa.RecordBatch.from_arrays(columns, names=schema.names)
-            yield from (whole.slice(lo, 20_000) for lo in range(0, len(terms), 20_000))
+        task, number = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for lo, texts in portions(batch, shard_chars):
+                numbers, flat, bounds = _Numbers(), array("i"), [0]
+                for value in texts:
+                    flat.extend(map(numbers.__getitem__, words(value)))
+                    flat.append(-1)
+                    bounds.append(len(flat))
+                terms = sorted(numbers)
+                rank = np.empty(len(terms) + 1, dtype=np.int32)
+                rank[np.fromiter(map(numbers.__getitem__, terms), dtype=np.int64, count=len(terms))] = np.arange(len(terms))
+                rank[-1] = -1
+                of = rank[np.frombuffer(flat, dtype=np.int32)]
+                places = np.argsort(of, kind="stable")[len(texts) :]
+                begin = np.flatnonzero(np.diff(of[places], prepend=-1))
+                runs = encode_runs(places.astype(np.int64), begin)
+                ends = np.frombuffer(runs.buffers()[1], dtype=np.int32) if len(runs) else np.zeros(1, dtype=np.int32)
+                data = runs.buffers()[2].to_pybytes() if len(runs) else b""
+                row = [_blob(np.array(bounds)), " ".join(terms), _blob(np.diff(np.r_[begin, len(places)])), _blob(places[begin]), _blob(np.diff(ends)), data]
+                keys = pa.ListArray.from_arrays(pa.array([0, len(texts)], type=pa.int32()), batch.column(0).slice(lo, len(texts)))
+                columns = [pa.array([f"{task}:{number}"]), keys, *(pa.array([v], type=pa.string() if isinstance(v, str) else pa.binary()) for v in row)]
+                number += 1
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, schema)
 
@@ -287,43 +322,41 @@ def search_index(
 ) -> DataFrame:
     """The same pairs as ``leaks``, from a stored index instead of the texts.
 
-    Only the postings of terms of the test items are read on, by a join with the block's terms, whose number is bounded by
-    ``block_words``; a shard's postings meet in one task and are intersected there. An item may have pieces in several
-    blocks; what they find twice is made one by the document's shard and place in it, whatever its key. So the index must
-    be stored where there are several blocks: each of them has to read the same shards.
+    A shard is searched by the task that reads it: of its terms those of the test items are looked up, the windows are found
+    whose words are all there, and their lists are intersected from the rarest term on. Nothing is shuffled. An item may
+    have pieces in several blocks; blocks are searched one after the other, each result stored before the next block is sent,
+    and what is found twice is made one by the document's shard and place in it, whatever its key. So the index must be
+    stored where there are several blocks: each of them has to read the same shards.
     """
     kinds = index.schema["keys"].dataType.elementType, items.select(item_key).schema[0].dataType
     schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("place", T.LongType()), T.StructField("doc", kinds[0]), T.StructField("item", kinds[1])])
 
-    def search(shared: Broadcast, pieces: DataFrame) -> DataFrame:
-        terms = F.broadcast(pieces.select(F.explode("words").alias("term")).distinct())
-        needed = index.filter(F.col("term").isNotNull()).join(terms, "term", "left_semi").unionByName(index.filter(F.col("term").isNull()))
-
+    def search(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases, names = shared.value
-            for table, begin in groups(batches, ["shard"]):
-                for lo, hi in zip(begin, np.r_[begin[1:], table.num_rows], strict=True):
-                    own = table.slice(lo, hi - lo).combine_chunks()
-                    n, first = (own.column(c).to_numpy().astype(np.int64) for c in ("n", "first"))
-                    runs, keys = (own.column(c).combine_chunks() for c in ("run", "keys"))
-                    ids = np.array([phrases.terms[t] for t in own.column("term").to_pylist()[1:]], dtype=np.int64)
-                    bounds = decode_runs(first[:1], n[:1], runs.slice(0, 1))
-                    shard = Shard.of_postings(bounds, ids, first[1:], n[1:], runs.slice(1), len(phrases.terms))
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    get = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
+                    keys, terms, size, data = batch.column("keys").slice(i, 1).flatten(), get("terms"), _unblob(get("size")), get("runs")
+                    runs = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(data)])
+                    ids = np.array([phrases.terms.get(t, -1) for t in terms.split(" ")] if terms else [], dtype=np.int64)
+                    shard = Shard.of_postings(_unblob(get("bounds")), ids, _unblob(get("first")), _unblob(get("n")), runs, phrases, missing)
                     if len(pairs := _pairs(shard, phrases, missing, slop)):
-                        place = pa.array(pairs[:, 0])
-                        number = own.column("shard").combine_chunks().take(pa.array(np.zeros(len(pairs), dtype=np.int64)))
-                        yield pa.RecordBatch.from_arrays([number, place, keys.slice(0, 1).flatten().take(place), names.take(pa.array(pairs[:, 1]))], names=schema.names)
+                        place, number = pa.array(pairs[:, 0]), pa.array([get("shard")] * len(pairs))
+                        yield pa.RecordBatch.from_arrays([number, place, keys.take(place), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
-        return needed.repartition("shard").sortWithinPartitions(F.col("shard"), F.col("term").asc_nulls_first()).mapInArrow(run, schema)
+        return index.mapInArrow(run, schema)
 
     pieces, blocks = _pieces(items, item_key, item_text, window, shortest, block_words)
-    found = None
-    for block in range(blocks):
-        mine = pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block) if blocks > 1 else pieces
-        part = search(_block(mine, window), mine)
-        found = part if found is None else found.unionByName(part)
-    if blocks > 1:
-        found = found.dropDuplicates(["shard", "place", "item"])
+    if blocks == 1:
+        found = search(_block(pieces, window))
+    else:
+        parts = []
+        for block in range(blocks):
+            shared = _block(pieces.filter(F.pmod(F.xxhash64("item", "piece"), F.lit(blocks)) == block), window)
+            parts.append(materialize(search(shared), "leaks"))
+            shared.destroy()
+        found = reduce(DataFrame.unionByName, parts).dropDuplicates(["shard", "place", "item"])
     return found.select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
 
 
@@ -349,8 +382,8 @@ def leaks(
     shifts (place in the document less offset in the passage) at most ``slop`` apart. So other words may lie in between,
     and words that are ``missing`` may be dropped without a word in their place, also where the document begins or ends.
 
-    The documents are never moved: each batch of them becomes one shard of a positional inverted index, held by the task
-    that read it, and the test items go to the shards. What is broadcast has a bound however many items there are: when
+    The documents are never moved: each ``SHARD_CHARS`` of them become one shard of a positional inverted index, held by the
+    task that read them, and the test items go to the shards. What is broadcast has a bound however many items there are: when
     they have more than ``block_words`` words, the index is stored once and searched in blocks by ``search_index``.
 
     Defined cases: null, empty and blank texts have no words and match nothing; rows with equal keys give rows of their own,
@@ -371,8 +404,9 @@ def leaks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases, names = shared.value
         for batch in batches:
-            shard = Shard.of_texts(batch.column(1).to_pylist(), phrases.terms, 1 if missing or slop else shortest)
-            if len(pairs := _pairs(shard, phrases, missing, slop)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=schema.names)
+            for lo, texts in portions(batch, SHARD_CHARS):
+                shard = Shard.of_texts(texts, phrases.terms, 1 if missing or slop else shortest)
+                if len(pairs := _pairs(shard, phrases, missing, slop)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[:, 0] + lo)), names.take(pa.array(pairs[:, 1]))], names=schema.names)
 
     return spread(docs.select(F.col(doc_key), F.col(doc_text))).mapInArrow(run, schema)
