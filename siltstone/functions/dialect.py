@@ -10,6 +10,7 @@ import re
 
 import regex
 
+from siltstone import messages as M
 from siltstone.errors import InvalidQuery
 from siltstone.limits import MAX_REGEX_BYTES
 
@@ -19,11 +20,11 @@ _TOKEN = re.compile(r"\\.|\[\^?\]?|\]|\(\?P<|\(\?[=!]|\(\?<[=!]|\(\?>|\(\?[a-zA-
 def translate(pattern: str) -> str:
     """The Java pattern for a search with ``pattern``; raises InvalidQuery for what the language lacks."""
     if len(pattern.encode()) > MAX_REGEX_BYTES:
-        raise InvalidQuery(f"Regex pattern exceeds maximum length of {MAX_REGEX_BYTES}")
+        raise InvalidQuery(M.REGEX_LENGTH.format(MAX_REGEX_BYTES))
     out, depth, lines = [], 0, False
     for token in _TOKEN.findall(pattern):
         if depth == 0 and (re.fullmatch(r"\\[1-9k]", token) or token in ("(?=", "(?!", "(?<=", "(?<!", "(?>") or re.fullmatch(r"[*+?}]\+", token)):
-            raise InvalidQuery(f"Invalid regex pattern: {pattern}")
+            raise InvalidQuery(M.REGEX.format(pattern))
         if token[0] == "[":
             depth += 1
         elif token == "]" and depth:
@@ -38,5 +39,5 @@ def translate(pattern: str) -> str:
     try:
         regex.compile(pattern, regex.V0)
     except regex.error as e:
-        raise InvalidQuery(f"Invalid regex pattern: {pattern}") from e
+        raise InvalidQuery(M.REGEX.format(pattern)) from e
     return "(?dU)" + "".join(out)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone import messages as M
 from siltstone.errors import InvalidQuery
 from siltstone.functions.dialect import translate
 from siltstone.limits import MAX_PATH_SEGMENTS
@@ -32,7 +33,7 @@ _OPERATORS = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le_
 def check_depth(path: str) -> None:
     """Raises InvalidQuery for a path of too many segments."""
     if path.count(".") >= MAX_PATH_SEGMENTS:
-        raise InvalidQuery(f"Field path depth exceeds maximum of {MAX_PATH_SEGMENTS}")
+        raise InvalidQuery(M.PATH_DEPTH.format(MAX_PATH_SEGMENTS))
 
 
 def is_number(v) -> bool:

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone import messages as M
 from siltstone.errors import InvalidQuery
 from siltstone.functions.dialect import translate
 from siltstone.functions.paths import Field, Frame, Typed, check_depth
@@ -55,16 +56,16 @@ class Not:
 def parse(spec: object, depth: int = 0):
     """The filter as a tree; raises InvalidQuery for anything that isn't one."""
     if depth > MAX_FILTER_DEPTH:
-        raise InvalidQuery(f"Filter nesting depth exceeds maximum of {MAX_FILTER_DEPTH}")
+        raise InvalidQuery(M.FILTER_DEPTH.format(MAX_FILTER_DEPTH))
     if not isinstance(spec, dict):
-        raise InvalidQuery("Filter must be a JSON object")
+        raise InvalidQuery(M.FILTER_FORM)
     parts: list = []
     for key, value in spec.items():
         if key in ("$and", "$or"):
             if not isinstance(value, list):
-                raise InvalidQuery(f"{key} must be an array")
+                raise InvalidQuery(M.MUST_BE_ARRAY.format(key))
             if len(value) > MAX_FILTER_BRANCHES:
-                raise InvalidQuery(f"Filter branch count exceeds maximum of {MAX_FILTER_BRANCHES}")
+                raise InvalidQuery(M.FILTER_BRANCHES.format(MAX_FILTER_BRANCHES))
             parts.append((All if key == "$and" else Any)(tuple(parse(v, depth + 1) for v in value)))
         elif key == "$not":
             parts.append(Not(parse(value, depth + 1)))
@@ -79,7 +80,7 @@ def _tests(path: str, value: object) -> list[Test]:
         return [Test(path, "$eq", value)]
     for op, operand in value.items():
         if op not in FIELD_OPERATORS:
-            raise InvalidQuery(f"Unknown operator: {op}")
+            raise InvalidQuery(M.UNKNOWN_OPERATOR.format(op))
         if op == "$regex" and isinstance(operand, str):
             translate(operand)
     return [Test(path, op, operand) for op, operand in value.items()]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone import messages as M
 from siltstone.errors import InvalidQuery
 from siltstone.functions.paths import Frame
 from siltstone.operators.filters import Test, compile_filter, parse
@@ -26,7 +27,7 @@ def survivors(frame: Frame, filter_spec: dict) -> DataFrame:
 def parse_set(update: object) -> dict:
     """The paths and values of ``{"$set": {…}}``; raises InvalidQuery. Setting ``_id`` is refused."""
     if not isinstance(update, dict) or not isinstance(update.get("$set"), dict):
-        raise InvalidQuery("Update must contain a $set object")
+        raise InvalidQuery(M.UPDATE_FORM)
     if "_id" in update["$set"]:
         raise InvalidQuery("$set can't change _id")
     return update["$set"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 
+from siltstone import messages as M
 from siltstone.errors import InvalidPipeline
 from siltstone.functions.paths import Frame
 
@@ -25,7 +26,7 @@ def parse_query_sort(spec: list | None) -> Sort:
 def parse_stage_sort(spec: object, at: int) -> Sort:
     """``{path: "asc" | "desc" | 1 | -1}`` of a pipeline stage, keys in alphabetical order."""
     if not isinstance(spec, dict):
-        raise InvalidPipeline(f"Stage {at}: $sort must be an object")
+        raise InvalidPipeline(M.SORT_FORM.format(at))
     return [(path, not (way == "desc" or (type(way) is int and way == -1))) for path, way in sorted(spec.items())]
 
 

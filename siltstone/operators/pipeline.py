@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone import messages as M
 from siltstone.errors import InvalidPipeline
 from siltstone.functions.paths import Field, Frame, Schemaless, Typed, value_of_key
 from siltstone.limits import COLLECT_CAP, MAX_PIPELINE_STAGES
@@ -46,45 +47,45 @@ class Outcome:
 def parse_pipeline(stages: object) -> list[Stage]:
     """All stages, validated before any job starts; raises InvalidPipeline or InvalidQuery."""
     if not isinstance(stages, list) or not stages:
-        raise InvalidPipeline("Pipeline cannot be empty")
+        raise InvalidPipeline(M.NO_STAGES)
     if len(stages) > MAX_PIPELINE_STAGES:
-        raise InvalidPipeline(f"Pipeline limited to {MAX_PIPELINE_STAGES} stages")
+        raise InvalidPipeline(M.STAGES.format(MAX_PIPELINE_STAGES))
     return [_parse_stage(s, i) for i, s in enumerate(stages)]
 
 
 def _parse_stage(stage: object, at: int) -> Stage:
     if not isinstance(stage, dict):
-        raise InvalidPipeline(f"Stage {at} must be an object")
+        raise InvalidPipeline(M.STAGE_FORM.format(at))
     if len(stage) != 1:
-        raise InvalidPipeline(f"Stage {at} must have exactly one key")
+        raise InvalidPipeline(M.STAGE_KEYS.format(at))
     (name, spec), readers = next(iter(stage.items())), {"$match": lambda s, _: parse(s), "$group": _parse_group, "$sort": parse_stage_sort}
     if name in readers:
         return Stage(name, readers[name](spec, at))
     if name in ("$limit", "$skip"):
         if not isinstance(spec, int) or isinstance(spec, bool) or spec < 0:
-            raise InvalidPipeline(f"Stage {at}: {name} must be a positive integer")
+            raise InvalidPipeline(M.STAGE_NUMBER.format(at, name))
         return Stage(name, spec)
-    raise InvalidPipeline(f"Stage {at}: unknown stage '{name}'")
+    raise InvalidPipeline(M.STAGE_NAME.format(at, name))
 
 
 def _parse_group(spec: object, at: int) -> tuple[object, dict[str, Accumulator]]:
     if not isinstance(spec, dict):
-        raise InvalidPipeline(f"Stage {at}: $group must be an object")
+        raise InvalidPipeline(M.GROUP_FORM.format(at))
     if "_id" not in spec:
-        raise InvalidPipeline(f"Stage {at}: $group requires '_id' field")
+        raise InvalidPipeline(M.GROUP_KEY.format(at))
     made = {}
     for name, value in sorted(spec.items()):
         if name == "_id":
             continue
         if not isinstance(value, dict):
-            raise InvalidPipeline(f"Stage {at}: accumulator '{name}' must be an object")
+            raise InvalidPipeline(M.ACCUMULATOR_FORM.format(at, name))
         if len(value) != 1:
-            raise InvalidPipeline(f"Stage {at}: accumulator '{name}' must have exactly one operator")
+            raise InvalidPipeline(M.ACCUMULATOR_KEYS.format(at, name))
         op, path = next(iter(value.items()))
         if op not in ACCUMULATORS:
-            raise InvalidPipeline(f"Stage {at}: unknown accumulator '{op}'")
+            raise InvalidPipeline(M.ACCUMULATOR_NAME.format(at, op))
         if op != "$count" and not isinstance(path, str):
-            raise InvalidPipeline(f"Stage {at}: {op} requires a field path string")
+            raise InvalidPipeline(M.ACCUMULATOR_PATH.format(at, op))
         made[name] = Accumulator(op, None if op == "$count" else path)
     return spec["_id"], made
 

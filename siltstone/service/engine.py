@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import siltstone
 from siltstone import errors as E
+from siltstone import messages as M
 from siltstone.functions.paths import Frame
 from siltstone.limits import DISTINCT_LIMIT, MAX_ANSWER_ROWS, QUERY_TIMEOUT_S
 from siltstone.operators import distinct as D
@@ -164,7 +165,7 @@ class Engine:
     def create_index(self, name: str, index: str, fields: list[str] | None = None, field: str | None = None) -> Answer:
         """An index on one or more paths; ``fields`` goes before ``field``."""
         if fields is None and field is None:
-            raise E.InvalidIndex("Either 'field' or 'fields' must be provided")
+            raise E.InvalidIndex(M.INDEX_FIELDS)
         return Answer(self.catalog.collection(name).create_index(index, fields if fields is not None else [field]))
 
     def drop_index(self, name: str, index: str) -> Answer:

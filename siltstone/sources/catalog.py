@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone import errors as E
+from siltstone import messages as M
 from siltstone.functions.paths import EPSILON, Frame, Schemaless, is_number
 from siltstone.limits import MAX_BULK_DOCUMENTS, MAX_DOCUMENT_BYTES, PROFILE_ROWS, ROLLUP_CARDINALITY
 from siltstone.operators import rollup as R
@@ -130,11 +131,11 @@ def _folder(name: str) -> str:
 def check_collection_name(name: object) -> None:
     """Raises InvalidDocument for what can't name a collection."""
     if not isinstance(name, str) or not name:
-        raise E.InvalidDocument("Collection name cannot be empty")
+        raise E.InvalidDocument(M.NAME_EMPTY)
     if name.startswith("_"):
-        raise E.InvalidDocument("Collection name cannot start with underscore")
+        raise E.InvalidDocument(M.NAME_UNDERSCORE)
     if not all(c.isalnum() or c in "_-.#$" for c in name):
-        raise E.InvalidDocument("Collection name can only contain alphanumerics, underscore, dash, dot, hash, or dollar")
+        raise E.InvalidDocument(M.NAME_CHARACTERS)
 
 
 def merge_patch(target: object, patch: object) -> object:
@@ -324,7 +325,7 @@ class Collection:
     def insert(self, document: object) -> dict:
         """Adds one document; a client's ``_id`` is replaced."""
         if not isinstance(document, dict):
-            raise E.InvalidDocument("Document must be a JSON object")
+            raise E.InvalidDocument(M.DOCUMENT_FORM)
         stamped = self._stamp(document)
         if _size(stamped) > MAX_DOCUMENT_BYTES:
             raise E.DocumentTooLarge
@@ -334,14 +335,14 @@ class Collection:
     def bulk_insert(self, documents: list) -> tuple[int, list[str]]:
         """Adds the valid documents in one commit; their number and the errors of the others."""
         if len(documents) > MAX_BULK_DOCUMENTS:
-            raise E.InvalidDocument(f"Bulk insert limited to {MAX_BULK_DOCUMENTS} documents per request")
+            raise E.InvalidDocument(M.BULK.format(MAX_BULK_DOCUMENTS))
         self.manifest()
         good, bad = [], []
         for i, d in enumerate(documents):
             if not isinstance(d, dict):
-                bad.append(f"Document {i}: must be a JSON object")
+                bad.append(M.BULK_FORM.format(i))
             elif _size(stamped := self._stamp(d)) > MAX_DOCUMENT_BYTES:
-                bad.append(f"Document {i}: exceeds 16 MB size limit")
+                bad.append(M.BULK_SIZE.format(i))
             else:
                 good.append(stamped)
         if good:
@@ -421,9 +422,9 @@ class Collection:
             old = self.get(doc_id)
             rev = document.get("_rev") if isinstance(document, dict) else None
             if isinstance(rev, int) and not isinstance(rev, bool) and rev >= 0 and rev != old["_rev"]:
-                raise E.DocumentConflict(f"Expected rev {rev}, current is {old['_rev']}")
+                raise E.DocumentConflict(M.REVISION.format(rev, old["_rev"]))
             if not isinstance(document, dict):
-                raise E.InvalidDocument("Document must be a JSON object")
+                raise E.InvalidDocument(M.DOCUMENT_FORM)
             kept = {n: old[n] for n in ("_id", "_created_at", "_received_at")}
             new = document | kept | {"_rev": old["_rev"] + 1, "_updated_at": now_text()}
             if _size(new) > MAX_DOCUMENT_BYTES:
@@ -492,13 +493,13 @@ class Collection:
     def create_index(self, name: str, fields: list[str]) -> dict:
         """An index is a layout: side columns for its paths, and rows sorted by them. The rows are laid out anew at once."""
         if not isinstance(name, str) or not name:
-            raise E.InvalidIndex("Index name cannot be empty")
+            raise E.InvalidIndex(M.INDEX_EMPTY)
         if not all(c.isalnum() or c in "_-" for c in name):
-            raise E.InvalidIndex("Index name may only contain alphanumeric characters, underscores, and hyphens")
+            raise E.InvalidIndex(M.INDEX_CHARACTERS)
         if not fields:
-            raise E.InvalidIndex("At least one field path is required")
+            raise E.InvalidIndex(M.INDEX_NO_PATH)
         if not all(isinstance(f, str) and f for f in fields):
-            raise E.InvalidIndex("Field path cannot be empty")
+            raise E.InvalidIndex(M.INDEX_PATH)
         with self._lock:
             m = self.manifest()
             if any(i["name"] == name for i in m.indexes):
@@ -528,7 +529,7 @@ class Collection:
     def set_ttl(self, days: int, path: str = "_created_at") -> dict:
         """Retention by the text of a path."""
         if not isinstance(days, int) or isinstance(days, bool) or days < 1:
-            raise E.InvalidDocument("retention_days must be greater than 0")
+            raise E.InvalidDocument(M.RETENTION)
         made = {"retention_days": days, "field": path, "enabled": True}
         with self._lock:
             self.commit(replace(self.manifest(), ttl=made))

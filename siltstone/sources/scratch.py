@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,15 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests, one machine), one temporary folder."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset on one machine (tests), one temporary folder.
+
+    On a cluster it must be set: a folder of one machine isn't seen by the others, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="siltstone-"))
 
 

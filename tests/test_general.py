@@ -14,6 +14,7 @@ from siltstone.functions.instants import instant_ms, utc_day
 from siltstone.operators import features as X
 from siltstone.operators import salted as S
 from siltstone.operators import sessions as W
+from siltstone.sources.scratch import scratch_root
 from siltstone.sources.tables import spread
 
 # Spellings and the instants they are, None for none.
@@ -221,3 +222,24 @@ def test_small_scans_are_spread_and_others_left(spark, tmp_path):
     assert spread(one).count() == spread(many).count() == 100
     assert spread(spark.range(3)).count() == 3
     spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Session:
+        applicationId = "app"
+
+        def __init__(self, master, named=None):
+            self.master, self.sparkContext, self.conf, self.named = master, self, self, named
+
+        def get(self, name, default=None):
+            return self.named
+
+        def getConf(self):
+            return self
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            scratch_root(Session(master))
+        assert scratch_root(Session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("local", "local[8]", "local[*]"):
+        assert scratch_root(Session(master)).startswith("file:///")
