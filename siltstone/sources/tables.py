@@ -10,14 +10,19 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def scan_splits(df: DataFrame) -> int | None:
+    """The tasks that read ``df``, if it is one scan of files; None for anything else."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    if leaves.size() != 1 or "FileSourceScan" not in leaves.head().getClass().getSimpleName():
+        return None
+    return leaves.head().inputRDD().getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as there are cores, for work that costs far more than moving the rows.
 
     Only a scan of fewer splits than cores is repartitioned (a small table, or one file of one row group); larger inputs
     stay as they are read, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
-    if leaves.size() != 1 or "FileSourceScan" not in leaves.head().getClass().getSimpleName():
-        return df
-    return df.repartition(cores) if leaves.head().inputRDD().getNumPartitions() < cores else df
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, scan_splits(df)
+    return df.repartition(cores) if splits is not None and splits < cores else df
