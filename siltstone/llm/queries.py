@@ -52,6 +52,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text again, from its ids by byte_bpe_50k."""
+    ids = tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+    return tokens.decode(ids, "doc_id", "ids").select("doc_id", F.decode("bytes", "UTF-8").alias("text"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     index = materialize(leaks.build_index(table(spark, d, "documents"), "doc_id", "text"), "postings")
     return leaks.search_index(index, table(spark, d, "eval_items"), doc_key="doc_id", item_key="item_id", item_text="text")
@@ -85,7 +91,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition_shares(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_top, p5_distinct, p5_merged, p6_ids, p7_found, p7_items, p7_near, p8_found, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_top, p5_distinct, p5_merged, p6_ids, p6_round_trip, p7_found, p7_items, p7_near, p8_found, p8_shares)}
 
 _DAY = f"cast(make_timestamp({duck_instant_ms('_received_at')} * 1000) as date)"
 
@@ -108,6 +114,7 @@ ORACLES: dict[str, str] = {
                    select case when grouping(event_type) = 0 then 'window_type' else 'window' end, day, n_days, event_type, count(distinct src_ip)
                    from w group by grouping sets ((day, n_days, event_type), (day, n_days)) having grouping(event_type) = 1 or event_type is not null)
         select *, cast(n_distinct as double) * (cast(n_distinct as double) - 1) / pow(2, 65) as collision_bound from c where n_distinct > 0""",
+    "p6_round_trip": "select doc_id, coalesce(text, '') as text from documents",
     "p5_merged": """select event_type, count(distinct src_ip) as n_distinct, cast(count(distinct src_ip) as double) * (cast(count(distinct src_ip) as double) - 1) / pow(2, 65) as collision_bound
         from siem_events where src_ip is not null group by event_type""",
 }

@@ -8,19 +8,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.words import words
-from siltstone.sources.tables import spread
+from siltstone.sources.tables import scan_splits, spread
 
 GRAM = 5
 MIN_WORDS = 20
 #: Share of repeated runs, in hundredths, from which a document is reported.
 MIN_PERCENT = 30
-#: First documents of a task on which the rules' costs and rejections are estimated. Their order follows, never a result.
-SAMPLE_ROWS = 128
+#: Documents on which the rules' costs and rejections are estimated, from so many files spaced evenly over the table. The
+#: rules' order follows, never a result.
+SAMPLE_ROWS, SAMPLE_FILES = 512, 16
 #: From so many words on, runs are numbered by sorting instead of being held as tuples.
 MANY_WORDS = 50_000
 #: Fixed value: no character becomes more than 18 by compatibility folding.
@@ -107,37 +109,51 @@ def best_order(rejected: np.ndarray, cost: np.ndarray, words_cost: np.ndarray, n
     return order
 
 
-class Cascade:
-    """Puts documents through the rules.
+def _tried(made: list[Rule], text: str | None) -> tuple[list[bool], list[float], float]:
+    """Whether each rule rejects the document, the seconds each takes once the words are known, and those of the words."""
+    document, clock = Document(text), time.perf_counter
+    began = clock()
+    _ = document.words
+    words_cost, verdicts, costs = clock() - began, [], []
+    for r in made:
+        began = clock()
+        verdicts.append(r.rejects(document))
+        costs.append(clock() - began)
+    return verdicts, costs, words_cost
+
 
-    The first ``sample_rows`` documents go through all rules, which are timed; from then on each document goes through them
-    in the best order and is done with at the first that rejects it. Every task estimates on its own documents, so nothing
-    is read twice and the order follows the data.
+def measured_order(df: DataFrame, text: str, made: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[int]:
+    """The best order of the rules on one sample of at most ``sample_rows`` documents, tried and timed by the workers.
+
+    The sample are the first documents of files spaced evenly over the table, so a table in some order is seen in all its
+    parts; of what isn't read from files, the first rows. Little is read beside it: a task stops after its share.
     """
+    if not sample_rows:
+        return list(range(len(made)))
+    files = sorted(df.inputFiles())
+    picked = [files[i * len(files) // SAMPLE_FILES] for i in range(SAMPLE_FILES)] if len(files) > SAMPLE_FILES else files
+    try:
+        # Listing and rows spell local paths with one slash and with three; a file counts only if both find it.
+        spellings = {p.replace("file:///", "file:/") for p in picked} | set(picked)
+        texts = df.filter(F.col("_metadata.file_path").isin(*spellings)).select(F.col(text))
+        splits = scan_splits(texts)
+    except AnalysisException:
+        splits = None
+    texts, share = (texts, -(-sample_rows // max(1, splits))) if splits is not None else (df.select(F.col(text)).limit(sample_rows), sample_rows)
 
-    def __init__(self, made: list[Rule], sample_rows: int = SAMPLE_ROWS):
-        self.rules, self.sample_rows = made, sample_rows
-        self.tests = [r.rejects for r in made]
-        self._seen: list[tuple[list[bool], list[float], float]] = []
-
-    def rejects(self, text: str | None) -> bool:
-        """Whether some rule rejects the document."""
-        document = Document(text)
-        if len(self._seen) >= self.sample_rows:
-            return any(t(document) for t in self.tests)
-        clock = time.perf_counter
-        began = clock()
-        _ = document.words
-        words_cost, verdicts, costs = clock() - began, [], []
-        for r in self.rules:
-            began = clock()
-            verdicts.append(r.rejects(document))
-            costs.append(clock() - began)
-        self._seen.append((verdicts, costs, words_cost))
-        if len(self._seen) == self.sample_rows:
-            rejected, cost, shared = (np.array(x) for x in zip(*self._seen, strict=True))
-            self.tests = [self.rules[i].rejects for i in best_order(rejected, cost, shared, [r.needs_words for r in self.rules])]
-        return any(verdicts)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = share
+        for batch in batches:
+            seen = [_tried(made, t) for t in batch.column(0).slice(0, left).to_pylist()]
+            left -= len(seen)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*seen, strict=True)], names=["rejected", "cost", "words_cost"])
+            if not left:
+                return
+
+    rows = texts.mapInArrow(run, "rejected array<boolean>, cost array<double>, words_cost double").collect()
+    rejected, cost, shared = (np.array([r[c] for r in rows]) for c in ("rejected", "cost", "words_cost"))
+    return best_order(rejected, cost, shared, [r.needs_words for r in made]) if rows else list(range(len(made)))
 
 
 def find_repetitive(
@@ -146,20 +162,21 @@ def find_repetitive(
     """``key`` of each document of at least ``min_words`` words of whose runs of ``gram`` words, counted at every position,
     at least ``min_percent`` hundredths also stand at an earlier position.
 
-    A ``Cascade`` of ``rules``: their order is estimated on the first documents of each task; it changes the time, not the
-    result. No shuffle; documents stay where they are read, and are read once.
+    A cascade of ``rules``: their costs and rejections are measured on one sample (``measured_order``), and each document goes
+    through them in the best order and is done with at the first that rejects it. The order changes the time, not the
+    result. No shuffle; documents stay where they are read.
 
     Defined cases: null, empty and blank texts have no words and are never reported; rows with equal keys are reported each;
     a null key is kept; texts of any length are taken whole; an empty input gives no rows; other columns play no part,
     whatever their names.
     """
-
     schema = T.StructType([T.StructField(key, df.select(key).schema[0].dataType)])
+    made = rules(gram, min_words, min_percent)
+    tests = [made[i].rejects for i in measured_order(df, text, made, sample_rows)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = Cascade(rules(gram, min_words, min_percent), sample_rows)
         for batch in batches:
-            passed = [i for i, t in enumerate(batch.column(1).to_pylist()) if not cascade.rejects(t)]
+            passed = [i for i, d in enumerate(map(Document, batch.column(1).to_pylist())) if not any(t(d) for t in tests)]
             if passed:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(passed, type=pa.int64()))], names=[key])
 

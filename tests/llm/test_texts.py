@@ -310,11 +310,23 @@ def test_order_prefers_rejections_per_second():
     assert R.best_order(rejected[:0], cost[:0], np.zeros(0), [True] * 4) == [0, 1, 2, 3]
 
 
-def test_a_cascade_orders_after_its_sample():
-    texts = [t for t in some_texts(random.Random(14)) if t] * 2
-    cascade = R.Cascade(R.rules(), 50)
-    assert [not cascade.rejects(t) for t in texts] == [repetitive(t) for t in texts]
-    assert len(cascade._seen) == 50 and len(cascade.tests) == 5
+def test_the_order_is_measured_on_a_sample_of_the_table(spark, tmp_path, monkeypatch):
+    """A table in order of repetition: its first file alone would put the rules otherwise."""
+    texts = sorted((t for t in some_texts(random.Random(14)) if t), key=repetitive) * 4
+    df = spark.createDataFrame([(t, i, "x") for i, t in enumerate(texts)], "text string, doc_id long, _metadata_ string").repartitionByRange(40, "doc_id")
+    df.write.parquet(str(tmp_path / "t"))
+    stored, made, want = spark.read.parquet(str(tmp_path / "t")), R.rules(), {i for i, t in enumerate(texts) if repetitive(t)}
+    for source in (stored, df, stored.filter("doc_id >= 0").withColumn("text", F.col("text")), stored.limit(0), df.limit(0), stored.join(df.select("doc_id"), "doc_id")):
+        assert sorted(R.measured_order(source, "text", made, 64)) == list(range(len(made)))
+    tried = []
+    monkeypatch.setattr(R, "best_order", lambda rejected, *rest: tried.append(len(rejected)) or list(range(len(made))))
+    for source in (stored, df):
+        R.measured_order(source, "text", made, 64)
+    assert tried == [64, 64]
+    monkeypatch.undo()
+    assert R.measured_order(stored, "text", made, 0) == list(range(len(made)))
+    for rows in (0, 1, 64, 10_000):
+        assert {r["doc_id"] for r in R.find_repetitive(stored, "doc_id", "text", sample_rows=rows).collect()} == want
 
 
 def test_many_words_are_counted_alike(monkeypatch):
