@@ -22,7 +22,7 @@ MIN_WORDS = 20
 MIN_PERCENT = 30
 #: Documents on which the rules' costs and rejections are estimated, from so many files spaced evenly over the table. The
 #: rules' order follows, never a result.
-SAMPLE_ROWS, SAMPLE_FILES = 512, 16
+SAMPLE_ROWS, SAMPLE_FILES = 512, 4
 #: From so many words on, runs are numbered by sorting instead of being held as tuples.
 MANY_WORDS = 50_000
 #: Fixed value: no character becomes more than 18 by compatibility folding.
@@ -126,7 +126,7 @@ def measured_order(df: DataFrame, text: str, made: list[Rule], sample_rows: int
     """The best order of the rules on one sample of at most ``sample_rows`` documents, tried and timed by the workers.
 
     The sample are the first documents of files spaced evenly over the table, so a table in some order is seen in all its
-    parts; of what isn't read from files, the first rows. Little is read beside it: a task stops after its share.
+    parts; of what isn't read from files, the first rows. A task stops with the Arrow batch that ends its share.
     """
     if not sample_rows:
         return list(range(len(made)))
@@ -135,11 +135,11 @@ def measured_order(df: DataFrame, text: str, made: list[Rule], sample_rows: int
     try:
         # Listing and rows spell local paths with one slash and with three; a file counts only if both find it.
         spellings = {p.replace("file:///", "file:/") for p in picked} | set(picked)
-        texts = df.filter(F.col("_metadata.file_path").isin(*spellings)).select(F.col(text))
+        texts = df.filter(F.col("_metadata.file_path").isin(*spellings)).select(F.col(text)) if files else df
         splits = scan_splits(texts)
     except AnalysisException:
         splits = None
-    texts, share = (texts, -(-sample_rows // max(1, splits))) if splits is not None else (df.select(F.col(text)).limit(sample_rows), sample_rows)
+    texts, share = (texts, -(-sample_rows // max(1, min(splits, SAMPLE_FILES)))) if splits is not None else (df.select(F.col(text)).limit(sample_rows), sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = share
@@ -151,7 +151,7 @@ def measured_order(df: DataFrame, text: str, made: list[Rule], sample_rows: int
             if not left:
                 return
 
-    rows = texts.mapInArrow(run, "rejected array<boolean>, cost array<double>, words_cost double").collect()
+    rows = texts.mapInArrow(run, "rejected array<boolean>, cost array<double>, words_cost double").limit(sample_rows).collect()
     rejected, cost, shared = (np.array([r[c] for r in rows]) for c in ("rejected", "cost", "words_cost"))
     return best_order(rejected, cost, shared, [r.needs_words for r in made]) if rows else list(range(len(made)))
 

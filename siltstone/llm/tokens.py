@@ -12,6 +12,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ from siltstone.sources.tables import spread
 REMEMBERED = 200_000
 #: Longer pieces are encoded each time, so the memory's size is bounded by its number of entries.
 LONGEST_REMEMBERED = 64
+#: Ids decoded at a time, and bytes of an array of results.
+DECODED, MOST_BYTES = 1 << 20, 1 << 30
 #: The file of ranks must be smaller, since every worker gets it.
 MAX_FILE_BYTES = 64 << 20
 #: Fixed value: how the public byte-level vocabularies split a text before merging.
@@ -143,12 +146,26 @@ class Tables:
                 token = out.pop()
                 at -= lengths[token]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of a list of ids, by each token's place in the blob."""
-        ids = np.asarray(ids, dtype=np.int64)
-        begin, size = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        shift = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) if len(ids) else np.empty(0, dtype=np.int64)
-        return self.blob[np.arange(int(size.sum())) + shift].tobytes()
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, by each token's place in the blob."""
+        ids, out = np.asarray(ids, dtype=np.int64), [self.blob[:0]]
+        for lo in range(0, len(ids), DECODED):
+            own = ids[lo : lo + DECODED]
+            begin, size = self.offsets[own], self.offsets[own + 1] - self.offsets[own]
+            shift = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size)
+            out.append(self.blob[np.arange(int(size.sum())) + shift])
+        return np.concatenate(out)
+
+    def decode_lists(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.BinaryArray]:
+        """The bytes of lists of ids that lie end to end (list k up to ``ends[k + 1]``), in arrays of a gigabyte at most
+        or of one list."""
+        at = np.r_[0, np.cumsum(self.offsets[ids + 1] - self.offsets[ids])][ends]
+        lo = 0
+        while lo + 1 < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + MOST_BYTES, side="right")) - 1)
+            data = self.decode(ids[ends[lo] : ends[hi]])
+            yield pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at[lo : hi + 1] - at[lo]).astype(np.int32)), pa.py_buffer(data)])
+            lo = hi
 
 
 class Encoder(dict):
@@ -231,7 +248,10 @@ def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _encoder(shared).tables
         for batch in batches:
-            out = [tables.decode(x or []) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=[key, "bytes"])
+            lists, lo = batch.column(1), 0
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64)]
+            for made in tables.decode_lists(lists.flatten().to_numpy(), ends):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(made)), made], names=[key, "bytes"])
+                lo += len(made)
 
     return df.select(F.col(key), F.col(ids)).mapInArrow(run, schema)
