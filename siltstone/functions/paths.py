@@ -26,7 +26,7 @@ EPSILON = 2.0**-52
 #: Below this, whole numbers are exact as 64-bit floats.
 EXACT = 2**53
 
-_NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+_WHOLE, _FLOAT = ("BIGINT", "INT", "SMALLINT", "TINYINT"), ("DOUBLE", "FLOAT")
 _OPERATORS = {"$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 
 
@@ -173,16 +173,24 @@ class Schemaless(Field):
 
     @property
     def kind(self) -> Column:
-        """Name of the value's type; NULL if missing, VOID for an explicit null."""
-        return F.regexp_extract(F.schema_of_variant(self.value), r"\A[A-Z]+", 0)
+        """The value's type; NULL if missing, VOID for an explicit null. Of decimals, arrays and objects with what is inside."""
+        return F.schema_of_variant(self.value)
 
     @property
     def present(self) -> Column:
         return self.value.isNotNull()
 
+    @property
+    def _is_float(self) -> Column:
+        return self.kind.isin(*_FLOAT) | self.kind.startswith("DECIMAL")
+
     @property
     def _is_number(self) -> Column:
-        return self.kind.isin(*_NUMBERS)
+        return self.kind.isin(*_WHOLE) | self._is_float
+
+    @property
+    def _is_compound(self) -> Column:
+        return self.kind.startswith("ARRAY<") | self.kind.startswith("OBJECT<")
 
     @property
     def number(self) -> Column:
@@ -195,21 +203,20 @@ class Schemaless(Field):
 
     @property
     def key(self) -> Column:
-        kind, text = self.kind, F.to_json(self.value)
-        return F.when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), F.concat(F.lit("~"), self._get("double").cast("string"))).when(kind != "VOID", text)
+        return F.when(self._is_float, F.concat(F.lit("~"), self._get("double").cast("string"))).when(self.kind != "VOID", F.to_json(self.value))
 
     @property
     def rank(self) -> Column:
         """Place of the value's type in the total order; 0 if missing."""
         kind = self.kind
-        other = F.when(kind == "VOID", 1).when(kind == "BOOLEAN", 2).when(kind.isin(*_NUMBERS), 3).when(kind == "STRING", 4).otherwise(5)
+        other = F.when(kind == "VOID", 1).when(kind == "BOOLEAN", 2).when(self._is_number, 3).when(kind == "STRING", 4).otherwise(5)
         return F.when(self.present, other).otherwise(0)
 
     @property
     def _within(self) -> list[Column]:
         kind = self.kind
         number = F.when(kind == "BOOLEAN", self._get("boolean").cast("double")).otherwise(self.number)
-        text = F.when(kind == "STRING", self._get("string")).when(~kind.isin("VOID", "BOOLEAN", *_NUMBERS), F.to_json(self.value))
+        text = F.when(kind == "STRING", self._get("string")).when(~(kind.isin("VOID", "BOOLEAN") | self._is_number), F.to_json(self.value))
         return [number, text]
 
     @property
@@ -233,7 +240,7 @@ class Schemaless(Field):
         if isinstance(v, str):
             return (self.kind == "STRING") & (self._get("string") == F.lit(v))
         literal = F.parse_json(F.lit(json.dumps(v, ensure_ascii=False)))
-        return self.kind.isin("ARRAY", "OBJECT") & (F.to_json(self.value) == F.to_json(literal)) & (F.schema_of_variant(self.value) == F.schema_of_variant(literal))
+        return self._is_compound & (F.to_json(self.value) == F.to_json(literal)) & (F.schema_of_variant(self.value) == F.schema_of_variant(literal))
 
     def compare(self, op: str, v) -> Column:
         order = lambda kind, literal: getattr(self._get(kind), _OPERATORS[op])(F.lit(literal))
@@ -249,7 +256,7 @@ class Schemaless(Field):
         return (self.kind == "STRING") & self._get("string").rlike(translate(pattern))
 
     def contains(self, v) -> Column:
-        return (self.kind == "ARRAY") & F.exists(self._get("array<variant>"), lambda e: F.coalesce(Schemaless(e).equals(v), F.lit(False)))
+        return self.kind.startswith("ARRAY<") & F.exists(self._get("array<variant>"), lambda e: F.coalesce(Schemaless(e).equals(v), F.lit(False)))
 
 
 def value_of_key(key: Column) -> Column:

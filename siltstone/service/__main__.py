@@ -90,7 +90,10 @@ def main() -> None:
 
     def retention() -> None:
         while not ended.wait(o.ttl_interval):
-            engine.cleanup()
+            try:
+                engine.cleanup()
+            except Exception:
+                logging.getLogger("siltstone.retention").exception("retention failed; it is tried again")
 
     if o.ttl_interval:
         threading.Thread(target=retention, daemon=True).start()

@@ -5,8 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+# Schemes of stores that show an object only when it is whole.
+OBJECT_STORES = {"s3a", "s3", "gs", "oss", "cosn", "obs", "swift"}
+
 
 class Files:
     """The file system that holds ``root``."""
@@ -36,17 +40,20 @@ class Files:
         return out.toString("UTF-8")
 
     def create(self, path: str, text: str) -> bool:
-        """Writes a new file, whole or not at all; False if there is one already.
+        """Writes a new file, whole or not at all; False if there is one already, so of two writers one wins.
 
-        The text is written beside first and then gets its name, which fails where there is such a file: of two writers one
-        wins.
+        Where files show before they are closed, the text is written beside first and then gets its name, which fails where
+        there is such a file. Object stores show an object once it is whole and may copy on a rename: there the name itself
+        is created, not to be replaced.
         """
+        data, target = bytearray(text.encode()), self._path(path)
         try:
+            scheme = self._fs.getUri().getScheme()
+            if scheme in OBJECT_STORES:
+                return self._exclusive(target, data)
             beside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
-            out = self._fs.create(beside, True)
-            out.write(bytearray(text.encode()))
-            out.close()
-            made = self._link(beside, path) if self._fs.getUri().getScheme() == "file" else self._rename(beside, path)
+            self._write(self._fs.create(beside, True), data)
+            made = self._link(beside, path) if scheme == "file" else not self._fs.exists(target) and self._fs.rename(beside, target)
             if self._fs.exists(beside):
                 self._fs.delete(beside, False)
         except Exception as e:
@@ -54,6 +61,20 @@ class Files:
             raise
         return made
 
+    @staticmethod
+    def _write(out, data: bytearray) -> None:
+        out.write(data)
+        out.close()
+
+    def _exclusive(self, target, data: bytearray) -> bool:
+        try:
+            self._write(self._fs.create(target, False), data)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
     def _link(self, beside, path: str) -> bool:
         """On a local file system a rename would replace; a second name for the file never does."""
         try:
@@ -62,9 +83,6 @@ class Files:
             return False
         return True
 
-    def _rename(self, beside, path: str) -> bool:
-        return not self._fs.exists(self._path(path)) and self._fs.rename(beside, self._path(path))
-
     def remove(self, path: str) -> bool:
         """Deletes a file or folder with all it holds."""
         return self._fs.delete(self._path(path), True)

@@ -21,6 +21,7 @@ from siltstone.service.engine import Engine, Pressure, access_path
 from siltstone.service.http import serve
 from siltstone.operators.query import parse_query
 from siltstone.service import __main__ as main
+from siltstone.sources import files
 from siltstone.sources.catalog import Accelerator, Collection, Manifest, generated_ids, id_millis, merge_patch, set_path
 from siltstone.streaming.ingest import ingest_lines
 
@@ -302,7 +303,7 @@ def test_retention(engine):
     assert engine.get_ttl("old").data == {"enabled": False}
 
 
-def test_one_of_two_writers_wins(engine):
+def test_one_of_two_writers_wins(engine, monkeypatch):
     engine.create_collection("race")
     c = engine.catalog.collection("race")
     m = c.manifest()
@@ -310,6 +311,12 @@ def test_one_of_two_writers_wins(engine):
     c.commit(m)
     with pytest.raises(E.DocumentConflict):
         other.commit(m)
+    monkeypatch.setattr(files, "OBJECT_STORES", {"file"})
+    n = c.manifest()
+    assert c.commit(n).version == n.version + 1 == c.manifest().version
+    with pytest.raises(E.DocumentConflict):
+        other.commit(n)
+    assert not engine.catalog.broken
 
 
 def test_ingest_and_stream(engine, spark, tmp_path):
