@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[str, tuple[tuple, StructType]] = {}
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """``<directory>/<name>.parquet``, a file or a folder of files; lazily, so pruning and pushdown reach the scan."""
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """``<directory>/<name>.parquet``, a file or a folder of files; lazily, so pruning and pushdown reach the scan.
+
+    Its schema is read from a footer by a job of its own, once: it is kept as long as the file or folder has the same time
+    and length and the application is the same.
+    """
+    path = f"{directory}/{name}.parquet"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target)
+    state = (spark.sparkContext.applicationId, status.getModificationTime(), status.getLen())
+    known = _SCHEMAS.get(path)
+    if known is None or known[0] != state:
+        known = _SCHEMAS[path] = state, spark.read.parquet(path).schema
+    return spark.read.schema(known[1]).parquet(path)
 
 
 def scan_splits(df: DataFrame) -> int | None:

@@ -15,7 +15,7 @@ from siltstone.operators import features as X
 from siltstone.operators import salted as S
 from siltstone.operators import sessions as W
 from siltstone.sources.scratch import scratch_root
-from siltstone.sources.tables import spread
+from siltstone.sources.tables import spread, table
 
 # Spellings and the instants they are, None for none.
 SPELLINGS = {
@@ -224,6 +224,14 @@ def test_small_scans_are_spread_and_others_left(spark, tmp_path):
     spark.conf.set("spark.sql.files.openCostInBytes", before)
 
 
+def test_a_table_that_is_written_anew_is_read_anew(spark, tmp_path):
+    for frame in (spark.range(3), spark.range(4).select(F.col("id").cast("string").alias("text"), "id")):
+        frame.write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+        for _ in range(2):
+            got = table(spark, str(tmp_path), "t")
+            assert got.schema.names == frame.schema.names and got.count() == frame.count()
+
+
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     class Session:
         applicationId = "app"
